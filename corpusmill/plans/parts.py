@@ -1,0 +1,24 @@
+"""Lists per group in bounded parts."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Values one list may hold on average; smaller groups always have a single list.
+LIST_LIMIT = 100_000
+
+
+def list_part(number: Column, group_size: Column, limit: int = LIST_LIMIT) -> Column:
+    """Part of a group's list that a row goes to, from a well-spread number of the row.
+
+    A group of up to ``limit`` rows has part 0 only; a larger one has evenly filled
+    parts, so no task ever holds the whole group.
+    """
+    parts = F.greatest(F.ceil(group_size / F.lit(limit)).cast("bigint"), F.lit(1).cast("bigint"))
+    return F.pmod(number, parts)
+
+
+def spread_number(*columns: Column | str) -> Column:
+    """Well-spread number of a row."""
+    return F.xxhash64(*columns)
