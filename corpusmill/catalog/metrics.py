@@ -9,6 +9,7 @@ from corpusmill.catalog.datasets import document_splits, split_sql, train_labels
 from corpusmill.catalog.views import with_views
 from corpusmill.functions.numbers import pair_softmax, python_round
 from corpusmill.operators import guards, metrics, models, reports
+from corpusmill.plans.materialize import materialize
 
 THRESHOLDS = [("0.5", 0.5), ("prior", "prior"), *metrics.sweep_thresholds()]
 ARMS = {"greedy": ("greedy", None), "half": ("prob", 0.5), "prior": ("prob", "prior")}
@@ -101,7 +102,7 @@ def scored_batches(spark, d):
     def make():
         return lambda texts: [(len(t) * 31 % 1009) / 1009 for t in texts]
 
-    docs = v.table(spark, d, "documents").select("doc_id", "text")
+    docs = v.documents(spark, d).select("doc_id", "text")
     return models.batch_score(docs, make).select("doc_id", F.round("p_yes", 9).alias("p_yes"))
 
 
@@ -113,7 +114,7 @@ def retried(spark, d):
             t if len(t) % 3 < attempt + 1 else t[: len(t) // (3 - attempt)] for t in texts
         ]
 
-    docs = v.table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), F.col("text").alias("src"))
+    docs = v.documents(spark, d).select(F.col("doc_id").alias("file_id"), F.col("text").alias("src"))
     plain = v.QualityRules(refusal_phrases=("\\x{0}",), loop_limit=1.0, residue_limit=1.0)
     done = models.transform_with_retry(docs, make, 2, plain)
     return done.select("file_id", "attempt", F.length("out").alias("out_length"), F.array_join("flags", ",").alias("flags"))
@@ -121,15 +122,17 @@ def retried(spark, d):
 
 def baseline(spark, d):
     """Fit on the train split of each label, evaluate on its test split."""
-    docs = v.table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), "text")
-    rows = document_splits(spark, d).join(docs, "file_id")
+    docs = v.documents(spark, d).select(F.col("doc_id").alias("file_id"), "text")
+    rows = materialize(document_splits(spark, d).join(docs, "file_id"))
     scored = None
     for task in ("quality", "toxic"):
         of_task = rows.where(F.col("task") == task)
         model = models.fit_baseline(of_task.where("split = 'train'").select("text", F.col("label").cast("double").alias("label")), 1 << 14)
         part = models.baseline_scores(model, of_task.where("split = 'test'"))
         scored = part if scored is None else scored.unionByName(part)
-    preds = scored.select(F.lit("linear").alias("run"), "task", "file_id", F.col("label").alias("y_true"), "p_yes")
+    preds = materialize(
+        scored.select(F.lit("linear").alias("run"), "task", "file_id", F.col("label").alias("y_true"), "p_yes")
+    )
     return reports.metrics_rows(metrics.decide(preds, "prob", 0.5))
 
 

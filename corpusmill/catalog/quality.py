@@ -17,7 +17,7 @@ def _checked(spark, d):
 
 
 def _documents(spark, d):
-    return v.table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), "text")
+    return v.documents(spark, d).select(F.col("doc_id").alias("file_id"), "text")
 
 
 def _joined(name: str):

@@ -37,7 +37,8 @@ def stream_unmatched(spark, d):
 
 
 def stream_pair_quality(spark, d):
-    docs = _stream(spark, d, "documents").select("doc_id", F.col("text").alias("src"))
+    cores = spark.sparkContext.defaultParallelism
+    docs = _stream(spark, d, "documents").select("doc_id", F.col("text").alias("src")).repartition(cores, "doc_id")
     after = v.table(spark, d, "documents").select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("out"))
     landed = docs.join(after, "doc_id").select(
         F.col("doc_id").alias("file_id"), F.col("doc_id").alias("seq"), "src", "out"

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.quality import QualityRules
 from corpusmill.operators.matching import with_file_id
+from corpusmill.plans.spread import spread
 
 SUFFIX = "_output_transcription_output_deidentified.txt"
 LABELS = ("label_a", "label_b")
@@ -33,6 +34,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
+def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_quantity"
+    )
+    return spread(items, "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
 def text_file_name() -> F.Column:
     return F.expr(
         f"""concat('2024_', o_custkey, '_a1_', if(o_orderkey % 50 = 0, 'x', ''), o_orderkey,
@@ -50,7 +62,7 @@ def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as metadata rows; the row number is made from the row's content, not by a sort."""
-    return table(spark, sf_dir, "lineitem").selectExpr(
+    return line_items(spark, sf_dir).selectExpr(
         """cast(conv(substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey,
             cast(round(l_extendedprice * 100) as bigint))), 1, 15), 16, 10) as bigint) as metadata_row""",
         """concat(l_orderkey, if(l_linenumber % 4 = 0, '.0', ''),
@@ -100,7 +112,7 @@ def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def translations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("out"))
     return docs.join(after, "doc_id").select(F.col("doc_id").alias("file_id"), F.col("text").alias("src"), "out")
 

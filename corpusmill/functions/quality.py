@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -61,9 +62,13 @@ def len_ratio(src: Column | str, out: Column | str) -> Column:
 
 def script_ratio(c: Column | str, ranges: str = ARABIC_RANGES) -> Column:
     """Share of the letters that belong to a script; 0.0 without letters."""
-    letters = F.regexp_count(col(c), F.lit(r"\p{L}"))
-    inside = F.regexp_count(col(c), F.lit(rf"[\p{{L}}&&[{ranges}]]"))
-    return F.when(letters > 0, inside / letters).otherwise(F.lit(0.0))
+    letters = F.regexp_replace(col(c), r"\P{L}+", "")
+
+    def share(text: Column) -> Column:
+        inside = F.length(F.regexp_replace(text, f"[^{ranges}]+", ""))
+        return F.when(text != "", inside / F.length(text)).otherwise(F.lit(0.0))
+
+    return let(letters, share)
 
 
 def looping_ratio(c: Column | str, window: int = 40, floor: float = 0.30) -> Column:
@@ -100,8 +105,11 @@ def is_refusal(out: Column | str, ratio: Column, rules: QualityRules = DEFAULT_R
     )
 
 
+MEASURES = ("is_empty", "ratio", "refused", "residue", "src_loop", "out_loop", "src_marks", "out_marks")
+
+
 def pair_measures(src: Column | str, out: Column | str, rules: QualityRules = DEFAULT_RULES) -> Column:
-    """Struct of all numbers the flags are made from; each text is read once per number."""
+    """Struct of the ``MEASURES`` that flags are made from."""
     ratio = len_ratio(src, out)
     return F.struct(
         (strip(out) == "").alias("is_empty"),
@@ -115,8 +123,10 @@ def pair_measures(src: Column | str, out: Column | str, rules: QualityRules = DE
     )
 
 
-def flags_from_measures(m: Column, rules: QualityRules = DEFAULT_RULES, details: bool = False) -> Column:
-    """Flag array from a ``pair_measures`` struct; ``details`` adds the numbers in brackets."""
+def flags_from_measures(
+    m: Column | Mapping[str, Column], rules: QualityRules = DEFAULT_RULES, details: bool = False
+) -> Column:
+    """Flag array from the measures of a pair; ``details`` adds the numbers in brackets."""
 
     def named(kind: str, *numbers: Column | str) -> Column:
         if not details or not numbers:
@@ -159,7 +169,7 @@ def hard_flags(flags: Column | str, hard: tuple[str, ...] = HARD_FLAGS) -> Colum
     return F.filter(col(flags), lambda f: flag_kind(f).isin(*hard))
 
 
-def rounded_measures(m: Column) -> dict[str, Column]:
+def rounded_measures(m: Column | Mapping[str, Column]) -> dict[str, Column]:
     """Stored numbers of a checked pair."""
     return {
         "len_ratio": python_round(m["ratio"], 3),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.ids import extract_file_id, id_tokens
+from corpusmill.functions.ids import extract_file_id, normalize_id
 
 
 def with_file_id(files: DataFrame, suffix: str) -> DataFrame:
@@ -23,7 +23,8 @@ def invalid_files(files: DataFrame) -> DataFrame:
 
 def explode_ids(meta: DataFrame, cell: str = "matched_ids") -> DataFrame:
     """One row per valid ID of each cell; an ID listed twice counts twice."""
-    return meta.withColumn("file_id", F.explode(id_tokens(cell)))
+    tokens = meta.select("*", F.explode(F.split(cell, ",")).alias("_token"))
+    return tokens.withColumn("file_id", normalize_id("_token")).where("file_id <> ''").drop("_token")
 
 
 def metadata_ids(meta: DataFrame, cell: str = "matched_ids") -> DataFrame:

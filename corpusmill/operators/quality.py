@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions.quality import (
     DEFAULT_RULES,
     HARD_FLAGS,
+    MEASURES,
     QualityRules,
     flag_kind,
     flags_from_measures,
@@ -29,15 +30,16 @@ def check_pairs(
     details: bool = False,
 ) -> DataFrame:
     """Pairs with flags and stored numbers; always derived from the texts."""
-    measured = pairs.withColumn("_m", pair_measures(src, out, rules))
-    return measured.withColumns(
-        {
-            "flags": flags_from_measures(F.col("_m"), rules, details),
-            **rounded_measures(F.col("_m")),
-            "src_loop": F.col("_m.src_loop"),
-            "out_loop": F.col("_m.out_loop"),
-        }
-    ).drop("_m")
+    # A generator, so that filters on flags stay above it and each text is measured once.
+    measured = pairs.select("*", F.inline(F.array(pair_measures(src, out, rules))))
+    numbers = {name: F.col(name) for name in MEASURES}
+    return measured.select(
+        *pairs.columns,
+        flags_from_measures(numbers, rules, details).alias("flags"),
+        *[c.alias(name) for name, c in rounded_measures(numbers).items()],
+        "src_loop",
+        "out_loop",
+    )
 
 
 def flagged(checked: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ def _key(row):
 
 def _same(a, b):
     if isinstance(a, float) and isinstance(b, float):
-        return a == b or (math.isnan(a) and math.isnan(b)) or abs(a - b) <= 1e-9 * max(1.0, abs(a))
+        return a == b or (math.isnan(a) and math.isnan(b))
     return type(a) is type(b) and a == b
 
 
