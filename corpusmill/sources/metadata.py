@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.operators.guards import require_columns
 from corpusmill.plans.rownumbers import number_text_rows
+from corpusmill.sources.corpus import plain_path
 
 # The code points in which Windows-1252 and ISO-8859-1 differ, built from the codec.
 _CP1252_BYTES = [b for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore")]
@@ -18,16 +19,18 @@ _CP1252_TO = bytes(_CP1252_BYTES).decode("cp1252")
 
 
 def split_by_encoding(spark: SparkSession, path: str | list[str]) -> tuple[list[str], list[str]]:
-    """Paths of the UTF-8 files and of the others; files are checked line by line."""
+    """Paths of the UTF-8 files and of the others.
+
+    Files are checked line by line on all executors; one verdict per file is fetched.
+    """
     lines = spark.read.text(path)
     verdicts = (
-        lines.select(F.col("_metadata.file_path").alias("path"), F.is_valid_utf8("value").alias("ok"))
-        .groupBy("path")
-        .agg(F.bool_and("ok").alias("ok"))
+        lines.groupBy(F.col("_metadata.file_path").alias("path"))
+        .agg(F.bool_and(F.is_valid_utf8("value")).alias("ok"))
+        .select(plain_path("path").alias("path"), "ok")
+        .collect()
     )
-    other = {r["path"] for r in verdicts.where(~F.col("ok")).collect()}
-    names = lines.inputFiles()
-    return [n for n in names if n not in other], [n for n in names if n in other]
+    return sorted(r.path for r in verdicts if r.ok), sorted(r.path for r in verdicts if not r.ok)
 
 
 def read_csv(

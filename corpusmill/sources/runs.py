@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from corpusmill.sources.corpus import plain_path
+
 PREDICTION_SCHEMA = (
     "file_id STRING, `true` INT, pred INT, pred_greedy INT, p_yes DOUBLE, p_pos DOUBLE, raw_output STRING"
 )
@@ -13,7 +15,7 @@ RUN_SCHEMA = "task STRING, base_model STRING, model STRING"
 
 
 def _folder() -> F.Column:
-    return F.regexp_extract(F.col("_metadata.file_path"), r"(?s)\A(.*)/[^/]*\z", 1)
+    return plain_path(F.regexp_extract(F.col("_metadata.file_path"), r"(?s)\A(.*)/[^/]*\z", 1))
 
 
 def read_runs(spark: SparkSession, folders: list[str]) -> DataFrame:
