@@ -12,6 +12,8 @@ from corpusmill.plans.materialize import materialize, scratch_path
 from corpusmill.plans.split import stratified_split
 from corpusmill.sources.datasets import read_tasks, write_tasks
 
+PARALLEL_GROUPS = {"any": ("quality", "toxic")}
+
 
 def _labels(spark, d):
     """One label per ID and task, written once: the split reads it three times."""
@@ -120,7 +122,27 @@ def swap_text(spark, d):
     return pairs.swap_text(rows, v.translations(spark, d)).withColumn("text", F.md5("text"))
 
 
+def parallel_corpora(spark, d):
+    """Documents and their successors as two languages with one merged label and one split."""
+    merged = merging.determined(merging.merge_labels(v.long_labels(spark, d), PARALLEL_GROUPS))
+    pairs_ = v.translations(spark, d)
+    covered = materialize(merged.withColumnRenamed("merged_task", "task").join(pairs_.select("file_id"), "file_id"))
+    assigned = stratified_split(covered, ["task"], "label", "file_id", TEST_SIZE, SEED)
+    texts = pairs_.select(
+        "file_id",
+        F.inline(
+            F.array(
+                F.struct(F.lit("first").alias("language"), F.col("src").alias("text")),
+                F.struct(F.lit("second").alias("language"), F.col("out").alias("text")),
+            )
+        ),
+    )
+    made = datasets.parallel_datasets(assigned, texts, {"any": "Is either property there?"})
+    return made.withColumn("input", F.md5("input"))
+
+
 QUERIES = {
+    "parallel_corpora": parallel_corpora,
     "binary_label_rows": binary_label_rows,
     "task_records": task_records,
     "instruction_records": instruction_records,
@@ -171,6 +193,17 @@ _COUNTS = """SELECT task, count(*) FILTER (label = 0) AS n_neg, count(*) FILTER
     FROM last_labels GROUP BY task"""
 
 ORACLES = {
+    "parallel_corpora": with_views(
+        """SELECT s.file_id, task, concat('Is either property there?', chr(10), 'Answer with exactly one word: Yes or No.') AS instruction,
+            md5(text) AS input, CASE label WHEN 1 THEN 'Yes' ELSE 'No' END AS output, label, language, split
+        FROM splits s JOIN (SELECT file_id, 'first' AS language, src AS text FROM pairs
+            UNION ALL SELECT file_id, 'second', out FROM pairs) t ON s.file_id = t.file_id""",
+        "pairs",
+        merged="""SELECT doc_id AS file_id, 'any' AS task, CASE WHEN quality = 1 OR toxic = 1 THEN 1 WHEN quality = 0 AND toxic = 0 THEN 0 END AS label
+            FROM labels WHERE doc_id IN (SELECT file_id FROM pairs)""",
+        known="SELECT * FROM merged WHERE label IS NOT NULL",
+        splits=split_sql("known"),
+    ),
     "binary_label_rows": with_views("SELECT * FROM binaries", "usable", binaries=_BINARY),
     "task_records": with_views(
         "SELECT b.*, md5(c.text) AS text FROM binaries b JOIN corpus c ON b.text_file = c.text_file",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.catalog import views as v
 from corpusmill.catalog.views import LABELS, with_views
-from corpusmill.functions.ids import normalize_id
+from corpusmill.functions.ids import id_order, normalize_id
 from corpusmill.functions.text import slug
 from corpusmill.operators import matching, profiles, reconcile
 from corpusmill.plans.materialize import materialize
@@ -17,6 +17,10 @@ def _matches(spark, d):
     return materialize(matching.match_files(v.text_files(spark, d), v.metadata(spark, d)))
 
 
+def _by_id(df, *more):
+    return df.orderBy(*id_order("file_id"), *more)
+
+
 def _usable(spark, d):
     return reconcile.usable_matches(v.text_files(spark, d), v.metadata(spark, d), LABELS)
 
@@ -42,8 +46,10 @@ QUERIES = {
     "usable_matches": _usable,
     "rows_per_file": lambda s, d: reconcile.rows_per_file(v.text_files(s, d), v.metadata(s, d)),
     "label_agreement": lambda s, d: reconcile.label_agreement(v.text_files(s, d), v.metadata(s, d), LABELS),
-    "conflict_details": lambda s, d: reconcile.conflict_details(v.text_files(s, d), v.metadata(s, d), LABELS),
-    "duplicate_summary": lambda s, d: reconcile.duplicate_summary(_matches(s, d), LABELS),
+    "conflict_details": lambda s, d: _by_id(
+        reconcile.conflict_details(v.text_files(s, d), v.metadata(s, d), LABELS), "distinct_label_tuple"
+    ),
+    "duplicate_summary": lambda s, d: _by_id(reconcile.duplicate_summary(_matches(s, d), LABELS), "part_no"),
     "usable_labels": lambda s, d: reconcile.usable_labels(_matches(s, d), LABELS),
     "usable_statistics": usable_statistics_query,
     "label_mismatches": lambda s, d: reconcile.label_mismatches(_matches(s, d), LABELS),

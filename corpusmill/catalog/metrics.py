@@ -85,7 +85,7 @@ def _summary(spark, d):
 
 
 def compared(spark, d):
-    rows = _summary(spark, d)
+    rows = materialize(_summary(spark, d))
     keep = ["task", *reports.TABLE_METRICS]
     base, tuned = rows.where("run = 'run0'").select(*keep), rows.where("run = 'run1'").select(*keep)
     return reports.compare_runs(base, tuned, keys=["task"])

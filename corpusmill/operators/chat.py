@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import col, fill_template
@@ -61,26 +61,30 @@ def render_chat(
 ) -> DataFrame:
     """Prompt text per conversation, from one row per turn.
 
-    Turns are rendered row by row and put together per block of ``turns_per_part`` turn
-    numbers. Only a conversation longer than that has several parts; its text is their
-    concatenation in order.
+    Turns are gathered per block of ``turns_per_part`` turn numbers. Only a conversation
+    longer than that has several parts; its text is their concatenation in order. The
+    first and last turn of a conversation are found from one small row per block.
     """
-    part = F.floor(F.col(turn) / F.lit(turns_per_part)).cast("bigint")
-    bounds = turns.groupBy(id_col).agg(F.min(turn).alias("_first"), F.max(turn).alias("_last"))
-    rendered = turns.join(bounds, id_col).select(
+    part = F.floor(F.col(turn) / F.lit(turns_per_part)).cast("bigint").alias("part_no")
+    blocks = turns.groupBy(id_col, part).agg(
+        F.sort_array(F.collect_list(F.struct(turn, "role", "text"))).alias("_turns")
+    )
+    conversation = Window.partitionBy(id_col)
+    ends = (
+        turns.groupBy(id_col, part)
+        .agg(F.min(turn).alias("_low"), F.max(turn).alias("_high"))
+        .select(
+            id_col,
+            "part_no",
+            F.min("_low").over(conversation).alias("_first"),
+            (F.col("_high") == F.max("_high").over(conversation)).alias("_is_last"),
+        )
+    )
+    texts = F.transform("_turns", lambda t: turn_text(t["role"], t["text"], t[turn] == F.col("_first"), eos))
+    closing = F.when(F.col("_is_last"), F.lit(GENERATION_MARK if add_generation_prompt else "")).otherwise("")
+    return blocks.join(ends, [id_col, "part_no"]).select(
         id_col,
-        turn,
-        part.alias("part_no"),
-        F.concat(
-            turn_text(F.col("role"), F.col("text"), F.col(turn) == F.col("_first"), eos),
-            F.when(
-                F.col(turn) == F.col("_last"), F.lit(GENERATION_MARK if add_generation_prompt else "")
-            ).otherwise(""),
-        ).alias("_text"),
+        "part_no",
+        F.size("_turns").cast("bigint").alias("n_turns"),
+        F.concat(F.array_join(texts, ""), closing).alias("prompt"),
     )
-    ordered = F.sort_array(F.collect_list(F.struct(turn, "_text")))
-    return rendered.groupBy(id_col, "part_no").agg(
-        F.count("*").alias("n_turns"), ordered.alias("_turns")
-    ).select(id_col, "part_no", "n_turns", F.array_join(F.col("_turns._text"), "").alias("prompt"))
-
-

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.plans.materialize import small_lookup
-from corpusmill.plans.parts import LIST_LIMIT, list_part, spread_number
+from corpusmill.plans.parts import LIST_LIMIT, list_part, part_count, spread_number
 
 Groups = Mapping[str, Sequence[str]]
 
@@ -87,7 +87,7 @@ def split_manifest(
     """
     cell = [group, "split"]
     sizes = rows.groupBy(*cell).agg(F.count("*").alias("n_ids"))
-    part = list_part(spread_number(id_col), F.col("n_ids"), list_limit)
+    part = list_part(spread_number(id_col), part_count(F.col("n_ids"), list_limit))
     placed = rows.join(small_lookup(sizes), cell).withColumn("part_no", part)
     return placed.groupBy(*cell, "n_ids", "part_no").agg(
         F.sort_array(F.collect_list(F.col(id_col).cast("string"))).alias("file_ids")

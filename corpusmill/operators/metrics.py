@@ -92,25 +92,24 @@ def rank_metrics(df: DataFrame, by: Sequence[str] = RUN_KEYS, score: str = "p_ye
     Both are NULL for groups with one class or with a missing score. Running totals go
     over distinct scores in slices, so one large run is spread over all tasks.
     """
-    histogram = score_histogram(df, by, score)
-    ranked = running_totals(histogram.where(F.col(score).isNotNull()), by, [F.desc(score)], ["pos", "neg"])
+    ranked = running_totals(score_histogram(df, by, score), by, [F.desc_nulls_last(score)], ["pos", "neg"])
+    scored = F.col(score).isNotNull()
     tp = F.col("pos_before") + F.col("pos")
     predicted = tp + F.col("neg_before") + F.col("neg")
-    big = "decimal(38,0)"
     won = F.col("neg").cast("decimal(18,0)") * (2 * F.col("pos_before") + F.col("pos")).cast("decimal(19,0)")
     sums = ranked.groupBy(*by).agg(
-        F.sum("pos").alias("n_pos"),
-        F.sum("neg").alias("n_neg"),
-        F.sum(won.cast(big)).alias("_won"),
-        F.sum(F.col("pos") * (tp / predicted)).alias("_steps"),
+        F.coalesce(F.sum(F.when(scored, F.col("pos"))), F.lit(0)).alias("n_pos"),
+        F.coalesce(F.sum(F.when(scored, F.col("neg"))), F.lit(0)).alias("n_neg"),
+        F.count_if(~scored).alias("_missing"),
+        F.sum(F.when(scored, won.cast("decimal(38,0)"))).alias("_won"),
+        F.sum(F.when(scored & (predicted > 0), F.col("pos") * (tp / predicted))).alias("_steps"),
     )
-    missing = df.groupBy(*by).agg(F.count_if(F.col(score).isNull()).alias("n_missing"))
     pairs = 2.0 * F.col("n_pos") * F.col("n_neg")
-    defined = (F.col("n_missing") == 0) & (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
-    return missing.join(sums, list(by), "left").select(
+    defined = (F.col("_missing") == 0) & (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
+    return sums.select(
         *by,
-        F.coalesce("n_pos", F.lit(0)).alias("n_pos"),
-        F.coalesce("n_neg", F.lit(0)).alias("n_neg"),
+        "n_pos",
+        "n_neg",
         F.when(defined, F.col("_won").cast("double") / pairs).alias("roc_auc"),
         F.when(defined, F.col("_steps") / F.col("n_pos")).alias("pr_auc"),
     )

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.labels import clean_labels
 from corpusmill.operators.matching import explode_ids, valid_files
-from corpusmill.plans.parts import LIST_LIMIT, list_part, spread_number
+from corpusmill.plans.materialize import materialize
+from corpusmill.plans.parts import LIST_LIMIT, one_row_per_part, spread_number, with_parts
 
 
 def label_rows(
@@ -118,12 +119,10 @@ def _with_lists(
     ``limit`` rows come in several parts, one line each, so that no task gathers them all.
     """
     order = [c for c in ("text_file", row) if c in rows.columns]
-    part = list_part(spread_number(*order), F.col(size), limit)
-    sized = rows.select(id_col, *order, cell).join(ids.select(id_col, size), id_col)
-    lists = sized.groupBy(id_col, part.alias("part_no")).agg(
-        F.sort_array(F.collect_list(F.struct(*order, cell))).alias("_rows")
-    )
-    return ids.join(lists, id_col).withColumns(
+    ids = materialize(ids)
+    placed = with_parts(rows.select(id_col, *order, cell), ids, id_col, size, spread_number(*order), limit)
+    lists = placed.groupBy(id_col, "part_no").agg(F.sort_array(F.collect_list(F.struct(*order, cell))).alias("_rows"))
+    return one_row_per_part(ids, size, limit).join(lists, [id_col, "part_no"]).withColumns(
         {
             "metadata_rows": F.array_join(F.col(f"_rows.{row}").cast("array<string>"), ","),
             f"{cell}_values": F.array_join(F.array_distinct(f"_rows.{cell}"), " | "),

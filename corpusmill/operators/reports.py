@@ -44,6 +44,29 @@ def metrics_rows(
     return joined.select(*keys, "n", *METRIC_COLUMNS, *COUNT_COLUMNS, *tail)
 
 
+def nested_metrics(df: DataFrame, keys: Sequence[str] = ("run", "task")) -> DataFrame:
+    """Metrics of ``classification_metrics`` as one nested record per run, for JSON output."""
+
+    def picked(suffix: str, names: Sequence[str]) -> F.Column:
+        return F.struct(*[F.col(f"{n}_{suffix}").alias(n) for n in names])
+
+    def average(prefix: str) -> F.Column:
+        return F.struct(*[F.col(f"{prefix}_{n}").alias(n) for n in ("precision", "recall", "f1")])
+
+    per_class = ("precision", "recall", "f1", "support")
+    matrix = F.array(F.array("tn", "fp"), F.array("fn", "tp"))
+    return df.select(
+        *keys,
+        "n",
+        "n_pred_pos",
+        "accuracy",
+        F.struct(picked("neg", per_class).alias("negative"), picked("pos", per_class).alias("positive")).alias("per_class"),
+        average("macro").alias("macro"),
+        average("weighted").alias("weighted"),
+        F.struct(F.array(F.lit(0), F.lit(1)).alias("labels"), matrix.alias("matrix")).alias("confusion_matrix"),
+    )
+
+
 def compare_runs(
     base: DataFrame,
     tuned: DataFrame,

@@ -26,9 +26,19 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/corpusmill-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/corpusmill/{uuid.uuid4().hex}/{name}"
+    """A new path below the shared folder, in the part that belongs to this application."""
+    return f"{_own_folder(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all stage tables of this application; results built on them are gone too."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialize(df: DataFrame) -> DataFrame:

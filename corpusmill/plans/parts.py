@@ -2,23 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.plans.materialize import small_lookup
+
 # Values one list may hold on average; smaller groups always have a single list.
 LIST_LIMIT = 100_000
+MANY_LARGE_GROUPS = 100_000
 
 
-def list_part(number: Column, group_size: Column, limit: int = LIST_LIMIT) -> Column:
-    """Part of a group's list that a row goes to, from a well-spread number of the row.
+def part_count(size: Column, limit: int = LIST_LIMIT) -> Column:
+    """Number of parts of a group of known size, at least one."""
+    return F.greatest(F.ceil(size / F.lit(limit)).cast("bigint"), F.lit(1).cast("bigint"))
 
-    A group of up to ``limit`` rows has part 0 only; a larger one has evenly filled
-    parts, so no task ever holds the whole group.
-    """
-    parts = F.greatest(F.ceil(group_size / F.lit(limit)).cast("bigint"), F.lit(1).cast("bigint"))
+
+def list_part(number: Column, parts: Column) -> Column:
+    """Part that a row goes to, from a well-spread number of the row."""
     return F.pmod(number, parts)
 
 
 def spread_number(*columns: Column | str) -> Column:
     """Well-spread number of a row."""
     return F.xxhash64(*columns)
+
+
+def with_parts(rows: DataFrame, groups: DataFrame, key: str, size: str, number: Column, limit: int) -> DataFrame:
+    """Add ``part_no`` to the rows of groups whose sizes are listed in ``groups``.
+
+    Only groups beyond ``limit`` rows need more than part 0. At most one in ``limit``
+    rows can found such a group, so the list of them is short and is looked up by
+    broadcast (size-checked); the rows are not shuffled by a possibly hot key.
+    """
+    large = groups.where(F.col(size) > limit).select(key, part_count(F.col(size), limit).alias("_parts"))
+    marked = rows.join(small_lookup(large, MANY_LARGE_GROUPS), key, "left")
+    part = F.when(F.col("_parts").isNull(), F.lit(0).cast("bigint")).otherwise(list_part(number, F.col("_parts")))
+    return marked.withColumn("part_no", part).drop("_parts")
+
+
+def one_row_per_part(groups: DataFrame, size: str, limit: int) -> DataFrame:
+    """Each group once per part of its list, so that parts can be joined evenly."""
+    last = part_count(F.col(size), limit) - 1
+    return groups.withColumn("part_no", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))

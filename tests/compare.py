@@ -16,8 +16,10 @@ TABLES = (
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for name in TABLES:
-        if Path(f"{sf_dir}/{name}.parquet").exists():
-            con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{sf_dir}/{name}.parquet')")
+        path = Path(f"{sf_dir}/{name}.parquet")
+        files = f"{path}/*.parquet" if path.is_dir() else str(path)
+        if path.exists():
+            con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{files}')")
     return con
 
 

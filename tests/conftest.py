@@ -5,6 +5,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
+from corpusmill.plans.materialize import clear_scratch
 from corpusmill.session import local_session
 
 
@@ -12,4 +13,5 @@ from corpusmill.session import local_session
 def spark():
     session = local_session(8, "corpusmill-tests")
     yield session
+    clear_scratch(session)
     session.stop()

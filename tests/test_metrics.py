@@ -141,3 +141,10 @@ def test_results_table_has_prevalence_and_percent(spark):
     df = spark.createDataFrame(rows, columns + ", support_pos bigint, support_neg bigint")
     row = reports.results_table(df, ["zero", "tuned"]).first()
     assert (row.prevalence, row.zero_macro_f1, row.tuned_macro_f1, row.better_macro_f1) == (52, 50.0, 66.67, True)
+
+
+def test_nested_record(spark):
+    df = spark.createDataFrame([(0, 0), (1, 1), (1, 0)], "y_true int, y_pred int")
+    row = reports.nested_metrics(metrics.classification_metrics(df, []), []).first()
+    assert row.confusion_matrix.matrix == [[1, 0], [1, 1]]
+    assert (row.per_class.positive.support, row.per_class.positive.recall, row.macro.recall) == (2, 0.5, 0.75)
