@@ -10,6 +10,7 @@ from corpusmill.catalog.views import with_views
 from corpusmill.functions.numbers import pair_softmax, python_round
 from corpusmill.operators import guards, metrics, models, reports
 from corpusmill.plans.materialize import materialize
+from corpusmill.plans.spread import spread
 
 THRESHOLDS = [("0.5", 0.5), ("prior", "prior"), *metrics.sweep_thresholds()]
 ARMS = {"greedy": ("greedy", None), "half": ("prob", 0.5), "prior": ("prob", "prior")}
@@ -123,7 +124,7 @@ def retried(spark, d):
 def baseline(spark, d):
     """Fit on the train split of each label, evaluate on its test split."""
     docs = v.documents(spark, d).select(F.col("doc_id").alias("file_id"), "text")
-    rows = materialize(document_splits(spark, d).join(docs, "file_id"))
+    rows = spread(materialize(document_splits(spark, d).join(docs, "file_id")), "file_id")
     scored = None
     for task in ("quality", "toxic"):
         of_task = rows.where(F.col("task") == task)

@@ -130,10 +130,6 @@ def _with_lists(
     )
 
 
-def _first_by(rows: DataFrame, row: str) -> F.Column:
-    return F.struct(*[c for c in ("text_file", row) if c in rows.columns])
-
-
 def duplicate_summary(
     rows: DataFrame,
     labels: Sequence[str],
@@ -143,19 +139,18 @@ def duplicate_summary(
     strip_values: bool = False,
     list_limit: int = LIST_LIMIT,
 ) -> DataFrame:
-    """IDs with several rows: counts, row numbers, cell values, labels of the first row.
+    """IDs with several rows: counts, row numbers, cell values, labels of the first metadata row.
 
     One line per ID, or per part of its lists beyond ``list_limit`` rows.
     """
     rows = clean_labels(rows, labels, strip_values)
-    order = _first_by(rows, row)
-    tuples = rows.groupBy(id_col, *labels).agg(F.count("*").alias("n"), F.min(order).alias("_order"))
+    tuples = rows.groupBy(id_col, *labels).agg(F.count("*").alias("n"), F.min(row).alias("_row"))
     ids = (
         tuples.groupBy(id_col)
         .agg(
             F.sum("n").alias("row_count"),
             F.count("*").alias("unique_prediction_count"),
-            F.min_by(F.struct(*labels), "_order").alias("_first"),
+            F.min_by(F.struct(*labels), "_row").alias("_first"),
         )
         .where("row_count > 1")
     )
@@ -187,7 +182,7 @@ def usable_labels(
     rows = clean_labels(rows, labels, strip_values)
     tuples = rows.groupBy(id_col, *labels).agg(
         F.count("*").alias("n"),
-        F.min(F.struct(_first_by(rows, row), "text_file", cell)).alias("_first"),
+        F.min(F.struct("text_file", row, cell)).alias("_first"),
     )
     status = F.when(F.col("source_row_count") == 1, "single_match").otherwise("duplicate_same_labels")
     agreed = (
