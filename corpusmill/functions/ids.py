@@ -23,13 +23,6 @@ def extract_file_id(c: Column | str, suffix: str) -> Column:
     return normalize_id(F.substring_index(stem, "_", -1))
 
 
-def id_tokens(c: Column | str) -> Column:
-    """All valid IDs of a comma-separated cell, in order, repeats kept."""
-    tokens = F.split(F.coalesce(col(c), F.lit("")), ",")
-    return F.array_remove(F.transform(tokens, normalize_id), "")
-
-
-def id_order(c: Column | str) -> list[Column]:
+def id_order(c: str) -> list[Column]:
     """Sort keys: numeric IDs by value, then all others by text."""
-    number = F.expr("try_cast({} as decimal(38,0))".format(f"`{c}`")) if isinstance(c, str) else c.try_cast("decimal(38,0)")
-    return [number.asc_nulls_last(), col(c)]
+    return [F.expr(f"try_cast(`{c}` as decimal(38,0))").asc_nulls_last(), F.col(c)]

@@ -11,11 +11,12 @@ _HALF_SCALE = float(2**40)
 
 
 def python_round(c: Column | str, digits: int) -> Column:
-    """``round(x, digits)`` as Python does it, for 0 <= x < 2**20 and digits <= 4.
+    """``round(x, digits)`` as Python does it, for x >= 0 and digits <= 4.
 
     Python rounds the exact binary value, ties to even; Spark rounds the printed
     decimal. The value is taken apart into an integer count of 2**-80 steps, which
-    is exact, and rounded in decimal arithmetic.
+    is exact, and rounded in decimal arithmetic. From 2**20 on, where the printed decimal
+    of a ratio decides the same, ``bround`` is used.
     """
     if not 0 <= digits <= 4:
         raise ValueError("digits must be between 0 and 4")
@@ -32,7 +33,8 @@ def python_round(c: Column | str, digits: int) -> Column:
     whole = F.floor((scaled - rest).cast("decimal(38,0)") / unit).cast("bigint")
     twice = (rest * F.lit("2").cast("decimal(1,0)")).cast("decimal(27,0)")
     up = F.when(twice > unit, 1).when(twice < unit, 0).otherwise(whole % 2)
-    return (whole + up).cast("double") / F.lit(float(10**digits))
+    exact = (whole + up).cast("double") / F.lit(float(10**digits))
+    return F.when(x >= float(2**20), F.bround(x, digits)).otherwise(exact)
 
 
 def fixed2(c: Column | str) -> Column:

@@ -14,16 +14,14 @@ LOOKUP_ROWS = 10_000
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only a local-mode session, as in tests, may fall back to a folder of its own.
+    Only a local-mode session, as in tests, may fall back to the machine's own folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    made = tempfile.mkdtemp(prefix="corpusmill-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    return tempfile.gettempdir()
 
 
 def _own_folder(spark: SparkSession) -> str:

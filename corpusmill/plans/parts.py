@@ -35,9 +35,11 @@ def with_parts(rows: DataFrame, groups: DataFrame, key: str, size: str, number:
     broadcast (size-checked); the rows are not shuffled by a possibly hot key.
     """
     large = groups.where(F.col(size) > limit).select(key, part_count(F.col(size), limit).alias("_parts"))
-    marked = rows.join(small_lookup(large, MANY_LARGE_GROUPS), key, "left")
+    lookup = small_lookup(large, MANY_LARGE_GROUPS)
     part = F.when(F.col("_parts").isNull(), F.lit(0).cast("bigint")).otherwise(list_part(number, F.col("_parts")))
-    return marked.withColumn("part_no", part).drop("_parts")
+    placed = rows.join(lookup, key, "left").withColumn("part_no", part).drop("_parts")
+    # After a shuffled join the rows lie by key; a later grouping must not rely on that.
+    return placed.repartition(key, "part_no") if lookup is large else placed
 
 
 def one_row_per_part(groups: DataFrame, size: str, limit: int) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.operators import matching, profiles, reconcile
+from corpusmill.plans import parts as parts_plan
 from corpusmill.operators.guards import require_columns, require_empty, require_rows
 
 LABELS = ["a", "b"]
@@ -105,7 +106,9 @@ def test_duplicate_summary_in_input_order(files, meta):
     ]
 
 
-def test_lists_of_hot_ids_come_in_parts(spark):
+@pytest.mark.parametrize("lookup", [100_000, 0])
+def test_lists_of_hot_ids_come_in_parts(spark, monkeypatch, lookup):
+    monkeypatch.setattr(parts_plan, "MANY_LARGE_GROUPS", lookup)
     rows = spark.createDataFrame(
         [("f.txt", "1" if i % 3 else "2", i, f"c{i % 50}", "TRUE", "x") for i in range(900)],
         "text_file string, file_id string, metadata_row bigint, matched_ids string, a string, b string",
