@@ -30,11 +30,6 @@ def normalize_id_query(spark, d):
     return cells.select("metadata_row", "pos", "token", normalize_id("token").alias("id"))
 
 
-def usable_statistics_query(spark, d):
-    matches = matching.match_files(v.text_files(spark, d), v.metadata(spark, d))
-    return reconcile.usable_statistics(matches, LABELS)
-
-
 QUERIES = {
     "normalize_id": normalize_id_query,
     "extract_file_id": v.text_files,
@@ -51,7 +46,7 @@ QUERIES = {
     ),
     "duplicate_summary": lambda s, d: reconcile.duplicate_summary(_matches(s, d), LABELS),
     "usable_labels": lambda s, d: reconcile.usable_labels(_matches(s, d), LABELS),
-    "usable_statistics": usable_statistics_query,
+    "usable_statistics": lambda s, d: reconcile.usable_statistics(_matches(s, d), LABELS),
     "label_mismatches": lambda s, d: reconcile.label_mismatches(_matches(s, d), LABELS),
     "label_distribution": lambda s, d: profiles.label_distribution(_usable(s, d), LABELS),
     "modal_label": lambda s, d: profiles.modal_label(_usable(s, d), LABELS),

@@ -141,7 +141,8 @@ def duplicate_summary(
 ) -> DataFrame:
     """IDs with several rows: counts, row numbers, cell values, labels of the first metadata row.
 
-    One line per ID, or per part of its lists beyond ``list_limit`` rows.
+    ``rows`` is a stored match table: read from files, its rows are counted before they
+    are shuffled. One line per ID, or per part of its lists beyond ``list_limit`` rows.
     """
     rows = clean_labels(rows, labels, strip_values)
     tuples = rows.groupBy(id_col, *labels).agg(F.count("*").alias("n"), F.min(row).alias("_row"))
@@ -177,7 +178,8 @@ def usable_labels(
 ) -> DataFrame:
     """IDs whose rows agree: first row, how it was matched, all row numbers and cells.
 
-    One line per ID, or per part of its lists beyond ``list_limit`` rows.
+    ``rows`` is a stored match table: read from files, its rows are counted before they
+    are shuffled. One line per ID, or per part of its lists beyond ``list_limit`` rows.
     """
     rows = clean_labels(rows, labels, strip_values)
     tuples = rows.groupBy(id_col, *labels).agg(
@@ -210,7 +212,10 @@ def usable_labels(
 def usable_statistics(
     rows: DataFrame, labels: Sequence[str], id_col: str = "file_id", strip_values: bool = False
 ) -> DataFrame:
-    """One row: input rows, IDs, and IDs by single match, agreement and conflict."""
+    """One row: input rows, IDs, and IDs by single match, agreement and conflict.
+
+    ``rows`` is a stored match table.
+    """
     rows = clean_labels(rows.select(id_col, *labels), labels, strip_values)
     tuples = rows.groupBy(id_col, *labels).agg(F.count("*").alias("n"))
     ids = tuples.groupBy(id_col).agg(F.sum("n").alias("n"), F.count("*").alias("k"))

@@ -14,11 +14,18 @@ def stream_match(names: DataFrame, meta: DataFrame, suffix: str) -> DataFrame:
 
 
 def stream_unmatched(names: DataFrame, meta: DataFrame, suffix: str) -> DataFrame:
-    """A stream of the names without metadata or without a valid ID, with the reason."""
-    files = with_file_id(names, suffix)
-    known = metadata_ids(meta).withColumn("_known", F.lit(True))
-    reason = F.when(F.col("file_id") == "", "invalid_filename_id").otherwise("no_metadata_match")
-    joined = files.join(known, "file_id", "left").where("_known is null")
+    """A stream of the names without metadata or without a valid ID, with the reason.
+
+    Names without an ID probe with their own name, which is no ID: a single blank key
+    would send them all to one task.
+    """
+    blank = F.col("file_id") == ""
+    files = with_file_id(names, suffix).withColumn(
+        "_probe", F.when(blank, F.concat(F.lit("#"), "text_file")).otherwise(F.col("file_id"))
+    )
+    known = metadata_ids(meta).select(F.col("file_id").alias("_probe"), F.lit(True).alias("_known"))
+    reason = F.when(blank, "invalid_filename_id").otherwise("no_metadata_match")
+    joined = files.join(known, "_probe", "left").where("_known is null")
     return joined.select("text_file", "file_id", reason.alias("reason"))
 
 
