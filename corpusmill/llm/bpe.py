@@ -22,11 +22,12 @@ from functools import lru_cache
 
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import whole_text
+from corpusmill.llm.common import ship_package, whole_text
 
 # Unicode white space as the tokenizer's pattern knows it.
 UNICODE_WHITE = r"\t-\r\x20\x85\xa0  -     　"
@@ -155,6 +156,12 @@ def read_tokenizer(path: str) -> str:
         return f.read()
 
 
+def _shared(docs: DataFrame, tokenizer: str) -> Broadcast[str]:
+    """The tokenizer file for the workers; its size is that of the vocabulary."""
+    ship_package(docs.sparkSession)
+    return docs.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer))
+
+
 def _appended(df: DataFrame, column: str, of: str, kind: T.DataType, make) -> DataFrame:
     """``df`` and a column that ``make(values)`` derives from one column, batch by batch."""
     schema = T.StructType([*df.schema.fields, T.StructField(column, kind)])
@@ -174,7 +181,7 @@ def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", ids_col: str
 
     Empty texts have no IDs. Special tokens spelled out in a text get their own IDs.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer))
+    shared = _shared(docs, tokenizer)
 
     def make():
         encode_text = codec(shared.value).encode
@@ -185,7 +192,7 @@ def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", ids_col: str
 
 def decode(docs: DataFrame, tokenizer: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """All columns and the decoded text; NULL IDs count as none."""
-    shared = docs.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer))
+    shared = _shared(docs, tokenizer)
 
     def make():
         decode_ids = codec(shared.value).decode
@@ -200,7 +207,7 @@ def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
     Encodes and decodes as the two operators do, in one pass that hands back digests only.
     Every input row gives a row: repeated rows repeat, a NULL ID stays NULL.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer))
+    shared = _shared(docs, tokenizer)
     source = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
     schema = T.StructType(
         [

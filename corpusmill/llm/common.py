@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+import shutil
+import tempfile
+from collections.abc import Callable
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,14 +63,21 @@ def stage(df: DataFrame, name: str) -> Stage:
     return Stage(df.sparkSession.read.schema(df.schema).parquet(path), path)
 
 
-@contextmanager
-def freed(*stages: Stage) -> Iterator[None]:
-    """Free the tables at the end of the block, also after a failure."""
-    try:
-        yield
-    finally:
-        for s in stages:
-            s.release()
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Functions for ``mapInArrow`` are looked up by name there; the workers need not have the
+    package installed.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        package = Path(__file__).resolve().parents[1]
+        target = Path(tempfile.mkdtemp()) / package.name
+        spark.sparkContext.addPyFile(shutil.make_archive(str(target), "zip", package.parent, package.name))
+        _shipped.add(app)
 
 
 def own_names(df: DataFrame, *wanted: str) -> DataFrame:

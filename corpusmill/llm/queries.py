@@ -5,12 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import bpe, exact_dedup, sharding
+from corpusmill.llm import bpe, exact_dedup, minhash, sharding
 from corpusmill.llm.common import table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    settings = minhash.NearDuplicates(words=4, percent=80)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), settings)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup.digest_rows(table(spark, sf_dir, "documents")).df
     return exact_dedup.mark_duplicates(rows, exact_dedup.DigestIndex.scratch(spark))
@@ -25,6 +30,7 @@ def op10_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_minhash_odd_sketch": op2_minhash_odd_sketch,
     "op5_exact_dedup": op5_exact_dedup,
     "op9_word_bpe": op9_word_bpe,
     "op10_rendezvous_shards": op10_rendezvous_shards,
