@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import bpe, exact_dedup, minhash, sharding
+from corpusmill.llm import bpe, exact_dedup, minhash, sharding, toxicity
 from corpusmill.llm.common import table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -21,6 +21,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_duplicates(rows, exact_dedup.DigestIndex.scratch(spark))
 
 
+def op7_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
 
@@ -32,6 +36,7 @@ def op10_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_minhash_odd_sketch": op2_minhash_odd_sketch,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_toxic_segments": op7_toxic_segments,
     "op9_word_bpe": op9_word_bpe,
     "op10_rendezvous_shards": op10_rendezvous_shards,
 }
