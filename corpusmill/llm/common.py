@@ -89,16 +89,20 @@ def learnable_labels(labels: DataFrame, id_col: str, label: str, held_out: Colum
     """(ID, 0/1) of a bounded sample of the labelled rows that may be learnt from.
 
     Rows with a NULL ID or label are left out; of several rows of one ID the largest label
-    counts. ``max_rows`` bounds the sample in expectation: IDs whose hash lies below the
-    matching share of the hash range are kept, so the sample depends on IDs and counts only.
+    counts. ``max_rows`` bounds the sample in expectation.
     """
     usable = (
         labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & ~held_out)
         .groupBy(F.col(id_col).alias("_id"))
         .agg(F.max(F.col(label).cast("int")).alias("_label"))
     )
-    total = usable.count()
+    return bounded_sample(usable, max_rows)
+
+
+def bounded_sample(rows: DataFrame, max_rows: int) -> DataFrame:
+    """Rows (unique ``_id``) whose ID's hash lies in a share of the range worth ``max_rows`` rows."""
+    total = rows.count()
     if total <= max_rows:
-        return usable
+        return rows
     share = int(max_rows / total * 2**31)
-    return usable.where(F.pmod(F.xxhash64("_id"), F.lit(2**31)) < share)
+    return rows.where(F.pmod(F.xxhash64("_id"), F.lit(2**31)) < share)

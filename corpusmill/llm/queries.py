@@ -5,12 +5,20 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import bpe, exact_dedup, minhash, sharding, toxicity
+from corpusmill.llm import bpe, exact_dedup, minhash, mixing, sharding, toxicity
 from corpusmill.llm.common import table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+# Wanted shares of tokens: four languages of good prose and, as a class of its own, poor text.
+TARGETS = {"en": 0.50, "de": 0.16, "fr": 0.16, "es": 0.12, "junk": 0.06}
+
+
+def op1_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), TARGETS)
+
+
 def op2_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     settings = minhash.NearDuplicates(words=4, percent=80)
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), settings)
@@ -34,6 +42,7 @@ def op10_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_soft_mixing": op1_soft_mixing,
     "op2_minhash_odd_sketch": op2_minhash_odd_sketch,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_toxic_segments": op7_toxic_segments,
