@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import bpe, exact_dedup, minhash, mixing, sharding, toxicity
+from corpusmill.llm import bpe, exact_dedup, minhash, mixing, quality, sharding, toxicity
 from corpusmill.llm.common import table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -24,6 +24,10 @@ def op2_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), settings)
 
 
+def op4_quality_rff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup.digest_rows(table(spark, sf_dir, "documents")).df
     return exact_dedup.mark_duplicates(rows, exact_dedup.DigestIndex.scratch(spark))
@@ -44,6 +48,7 @@ def op10_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_soft_mixing": op1_soft_mixing,
     "op2_minhash_odd_sketch": op2_minhash_odd_sketch,
+    "op4_quality_rff": op4_quality_rff,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_toxic_segments": op7_toxic_segments,
     "op9_word_bpe": op9_word_bpe,
