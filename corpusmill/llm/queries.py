@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import bpe, exact_dedup, minhash, mixing, quality, sharding, toxicity
+from corpusmill.llm import bpe, exact_dedup, minhash, mixing, quality, rules, sharding, toxicity
 from corpusmill.llm.common import table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -37,6 +37,10 @@ def op7_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op9_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op4_quality_rff": op4_quality_rff,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_toxic_segments": op7_toxic_segments,
+    "op8_weak_rules": op8_weak_rules,
     "op9_word_bpe": op9_word_bpe,
     "op10_rendezvous_shards": op10_rendezvous_shards,
 }
