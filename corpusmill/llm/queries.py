@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import bpe, exact_dedup, minhash, mixing, quality, rules, sharding, toxicity
+from corpusmill.llm import bpe, exact_dedup, html, minhash, mixing, quality, rules, sharding, toxicity
 from corpusmill.llm.common import table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -33,6 +33,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_duplicates(rows, exact_dedup.DigestIndex.scratch(spark))
 
 
+def op6_tag_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -54,6 +58,7 @@ QUERIES = {
     "op2_minhash_odd_sketch": op2_minhash_odd_sketch,
     "op4_quality_rff": op4_quality_rff,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_tag_path_text": op6_tag_path_text,
     "op7_toxic_segments": op7_toxic_segments,
     "op8_weak_rules": op8_weak_rules,
     "op9_word_bpe": op9_word_bpe,
