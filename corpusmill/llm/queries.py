@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import bpe, exact_dedup, html, minhash, mixing, quality, rules, sharding, toxicity
+from corpusmill.llm import bpe, exact_dedup, html, minhash, mixing, quality, rules, sharding, token_counts, toxicity
 from corpusmill.llm.common import table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -24,6 +24,15 @@ def op2_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), settings)
 
 
+PIECE_VOCABULARY = token_counts.Vocabulary(
+    public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+)
+
+
+def op3_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.recount(table(spark, sf_dir, "documents"), PIECE_VOCABULARY)
+
+
 def op4_quality_rff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -56,6 +65,7 @@ def op10_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_soft_mixing": op1_soft_mixing,
     "op2_minhash_odd_sketch": op2_minhash_odd_sketch,
+    "op3_edit_aware_counts": op3_edit_aware_counts,
     "op4_quality_rff": op4_quality_rff,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_tag_path_text": op6_tag_path_text,
