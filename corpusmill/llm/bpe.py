@@ -31,11 +31,38 @@ from corpusmill.llm.common import ship_package, whole_text
 
 # Unicode white space as the tokenizer's pattern knows it.
 UNICODE_WHITE = r"\t-\r\x20\x85\xa0  -     　"
+# Letters and digits since Unicode 17, which the pattern module knows and the tokenizer doesn't.
+NEWER = [
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F),
+    (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1),
+    (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE),
+    (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F),
+    (0x12475, 0x1247F), (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6),
+    (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191),
+    (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24),
+    (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2),
+    (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F),
+    (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+]
+NEWER_CLASS = regex.compile("[" + "".join(f"{chr(a)}-{chr(z)}" for a, z in NEWER) + "]")
 # The tokenizer's pattern for words.
 PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{UNICODE_WHITE}\p{{L}}\p{{N}}]+")
 CHUNKS = regex.compile(rf"[^{UNICODE_WHITE}]+")
-# str.split() also splits at these, which are not white space for the tokenizer.
-SEPARATORS = regex.compile(r"[\x1c-\x1f]")
+# Small letters of capitals that the tokenizer knows but Python's tables don't.
+NEWER_CAPITALS = {
+    0x1C89: 0x1C8A,
+    0xA7CB: 0x0264,
+    0xA7CC: 0xA7CD,
+    0xA7CE: 0xA7CF,
+    0xA7D2: 0xA7D3,
+    0xA7D4: 0xA7D5,
+    0xA7DA: 0xA7DB,
+    0xA7DC: 0x019B,
+    **{c: c + 0x20 for c in range(0x10D50, 0x10D66)},
+    **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)},
+}
+# Also split at by str.split(), though not white space for the tokenizer; or such a capital.
+UNUSUAL = regex.compile(f"[\x1c-\x1f{''.join(map(chr, NEWER_CAPITALS))}]")
 CACHED_CHUNKS = 800_000
 LONGEST_CACHED = 64
 
@@ -47,6 +74,14 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
+def split_pieces(chunk: str) -> list[str]:
+    """Words and marks of a stretch without white space."""
+    if NEWER_CLASS.search(chunk):
+        plain = NEWER_CLASS.sub("\uffff", chunk)
+        return [chunk[m.start() : m.end()] for m in PIECES.finditer(plain)]
+    return PIECES.findall(chunk)
+
+
 class WordBpe:
     """Encoder and decoder of one tokenizer file."""
 
@@ -106,7 +141,7 @@ class WordBpe:
         """IDs of a lower-case stretch without white space."""
         ids = self.cache.get(chunk)
         if ids is None:
-            pieces = PIECES.findall(chunk)
+            pieces = split_pieces(chunk)
             if len(pieces) == 1 and len(pieces[0]) == len(chunk):
                 ids = array("i", self.merge(chunk))
             else:
@@ -122,7 +157,7 @@ class WordBpe:
     def plain(self, text: str, into: array) -> None:
         # One capital sigma at a time has the same small letter wherever it stands.
         small = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        chunks = CHUNKS.findall(small) if SEPARATORS.search(small) else small.split()
+        chunks = CHUNKS.findall(small.translate(NEWER_CAPITALS)) if UNUSUAL.search(small) else small.split()
         known, chunk = self.cache.get, self.chunk
         for c in chunks:
             into.extend(known(c) or chunk(c))

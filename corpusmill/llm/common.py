@@ -80,6 +80,13 @@ def ship_package(spark: SparkSession) -> None:
         _shipped.add(app)
 
 
+def unused_name(df: DataFrame, base: str) -> str:
+    """``base``, lengthened until no column has the name."""
+    while base.lower() in [c.lower() for c in df.columns]:
+        base += "_"
+    return base
+
+
 def own_names(df: DataFrame, *wanted: str) -> DataFrame:
     """Only the wanted columns, so that further columns of any name can't clash."""
     return df.select(*[F.col(f"`{w}`") for w in wanted])

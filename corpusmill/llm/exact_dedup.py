@@ -21,9 +21,9 @@ from corpusmill.plans.materialize import scratch_path
 INDEX_SCHEMA = "digest binary, keep_id bigint, n_chars int"
 
 
-def digest(text: str = "text") -> Column:
-    """SHA-256 of the text without white space, as 32 bytes."""
-    return F.unhex(F.sha2(F.regexp_replace(whole_text(text), f"{WHITE_CLASS}+", ""), 256))
+def digest(text: Column) -> Column:
+    """SHA-256 of the text without white space, as 32 bytes; NULL counts as empty."""
+    return F.unhex(F.sha2(F.regexp_replace(F.coalesce(text, F.lit("")), f"{WHITE_CLASS}+", ""), 256))
 
 
 @dataclass(frozen=True)
@@ -75,7 +75,7 @@ class DigestIndex:
 def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Stage:
     """One narrow row per document: ID, digest, code points of the original text."""
     rows = docs.select(
-        F.col(id_col).alias("doc_id"), digest(text_col).alias("digest"), F.length(whole_text(text_col)).alias("n_chars")
+        F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("digest"), F.length(whole_text(text_col)).alias("n_chars")
     )
     return stage(rows, "digests")
 
@@ -117,12 +117,12 @@ def mark_duplicates(rows: DataFrame, index: DigestIndex) -> DataFrame:
 def drop_exact_duplicates(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns; one of rows repeated with ID and text."""
     marks = stage(mark_duplicates(digest_rows(docs, id_col, text_col).df, index), "marks").df
-    gone = marks.where("not kept").select(F.col("doc_id").alias("_gone"), F.unhex("text_sha256").alias("_digest"))
-    here = F.col(id_col).eqNullSafe(F.col("_gone")) & (digest(text_col) == F.col("_digest"))
+    gone = marks.where("not kept").select("doc_id", F.unhex("text_sha256").alias("digest"))
+    here = docs[id_col].eqNullSafe(gone["doc_id"]) & (digest(docs[text_col]) == gone["digest"])
     left = docs.join(gone, here, "left_anti")
-    repeated = marks.where("kept").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
+    repeated = marks.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if repeated.isEmpty():
         return left
-    again = F.col(id_col).eqNullSafe(F.col("_again"))
+    again = left[id_col].eqNullSafe(repeated["doc_id"])
     single = left.join(repeated, again, "left_anti")
     return single.unionByName(left.join(repeated, again, "left_semi").dropDuplicates([id_col, text_col]))

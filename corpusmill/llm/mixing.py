@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import WHITE_CLASS, bounded_sample, stage, whole_text
+from corpusmill.llm.common import WHITE_CLASS, bounded_sample, stage, unused_name, whole_text
 
 
 @dataclass(frozen=True)
@@ -197,7 +197,8 @@ def resample(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], s
     """
     key = F.col("doc_id")
     rates = mix(docs, labels, targets, s).groupBy("doc_id").agg(F.avg("rate").alias("rate"))
-    wanted = rates.select(key.alias("_id"), copies(F.col("rate"), key).alias("_copies")).where("_copies > 0")
-    joined = docs.join(stage(wanted, "copies").df, key.eqNullSafe(F.col("_id")))
-    again = F.explode(F.sequence(F.lit(1), F.col("_copies")))
-    return joined.withColumn("_copy", again).select(*[joined[c] for c in docs.columns])
+    wanted = stage(rates.select("doc_id", copies(F.col("rate"), key).alias("copies")).where("copies > 0"), "copies").df
+    joined = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]))
+    number = unused_name(docs, "copy")
+    again = F.explode(F.sequence(F.lit(1), wanted["copies"])).alias(number)
+    return joined.select(*[docs[c] for c in docs.columns], again).drop(number)
