@@ -2,19 +2,20 @@
 
 1. One pass over the texts gives each document a signature: a digest of its set of word
    shingles, band keys of MinHash samples, and an odd sketch, a parity bitmap into which
-   all samples are folded. The population count of the XOR of two sketches estimates how
-   many samples differ, and is most precise for high similarities.
+   further MinHash samples are folded. These samples are the least hashes of the bins of one
+   permutation, so there are many of them for little work. The population count of the XOR
+   of two sketches tells how many samples differ, most precisely for high similarities.
 2. Documents with equal sets form a class; one of them speaks for all.
-3. In each band bucket the smallest class is compared with the others, and each class keeps
-   one partner whose sketch is close enough. These pairs are checked on full sets.
+3. Each band bucket has a head, the class that shares most buckets with others. Each class is
+   paired with the head of most of its buckets; close pairs are checked on full sets.
 4. Buckets whose classes then lie in several components give the pairs across components
    whose sketches are close; those are checked too. Pairs inside a component need no check,
-   so a group of n near copies costs about n comparisons and loses nothing.
+   so a group of n near copies of one text costs about n comparisons and loses nothing.
 5. Links become components.
 
 With ``bands`` x ``rows`` samples a pair of similarity s shares a bucket with probability
 1 - (1 - s^rows)^bands; for the defaults a pair at 0.8 is missed once in 20 million. The
-sketch limit lies six standard deviations beyond what a pair at the threshold shows.
+limit for sketches lies six standard deviations beyond what a pair at the threshold shows.
 """
 
 from __future__ import annotations
@@ -41,28 +42,21 @@ BROADCAST_IDS = 1_000_000
 
 @dataclass(frozen=True)
 class NearDuplicates:
-    """Settings: words per shingle, similarity in per cent, bands, samples per band, sketch bits."""
+    """Settings: words per shingle, similarity in per cent, bands, samples per band,
+    bits of an odd sketch and bins of its samples (powers of two)."""
 
     words: int = 5
     percent: int = 80
     bands: int = 32
     rows: int = 4
-    sketch_bits: int = 512
+    sketch_bits: int = 2048
+    bins: int = 1 << 16
     seed: int = 20
 
     @property
     def samples(self) -> int:
         return self.bands * self.rows
 
-    def sketch_limit(self) -> int:
-        """Largest XOR count of a pair at the threshold, but for six standard deviations."""
-        k, n, s = self.samples, self.sketch_bits, self.percent / 100
-        flips = 2 * k * (1 - s)
-        left = math.exp(-2 * flips / n)
-        from_samples = left * 2 * math.sqrt(k * s * (1 - s))
-        from_bits = math.sqrt(n / 4 * (1 - left * left))
-        return math.ceil(n / 2 * (1 - left) + 6 * math.hypot(from_samples, from_bits))
-
 
 def _odd_numbers(count: int, seed: int) -> np.ndarray:
     drawn = np.random.default_rng(seed).integers(0, 2**63, size=count, dtype=np.uint64)
@@ -97,8 +91,8 @@ def shingle_hashes(text: bytes, words: int) -> np.ndarray:
     return np.unique(_mixed(total))
 
 
-def _signatures(sets: list[np.ndarray], s: NearDuplicates) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys (documents x bands) and odd sketches (documents x words of 64 bits)."""
+def _band_keys(sets: list[np.ndarray], s: NearDuplicates) -> np.ndarray:
+    """Documents x bands."""
     starts = np.cumsum([0, *map(len, sets)])[:-1]
     every = np.concatenate(sets)
     factors, shifts = _odd_numbers(s.samples, s.seed), _odd_numbers(s.samples, s.seed + 1)
@@ -107,15 +101,21 @@ def _signatures(sets: list[np.ndarray], s: NearDuplicates) -> tuple[np.ndarray,
         least[i] = np.minimum.reduceat(every * factors[i] + shifts[i], starts)
     number = np.arange(1, s.samples + 1, dtype=np.uint64)[:, None]
     folded = _mixed(least + number * np.uint64(0x9E3779B97F4A7C15))
-
     band_factors = _odd_numbers(s.rows, s.seed + 2)[None, :, None]
     keys = (folded.reshape(s.bands, s.rows, -1) * band_factors).sum(axis=1, dtype=np.uint64)
+    return np.ascontiguousarray(_mixed(keys).T).view(np.int64)
+
+
+def odd_sketch(hashes: np.ndarray, s: NearDuplicates) -> tuple[np.ndarray, int]:
+    """Parity bitmap of the least hash of every bin, as 64-bit words, and the number of samples.
 
-    bit = (folded % np.uint64(s.sketch_bits)).astype(np.int64)
-    cell = bit + np.arange(len(sets)) * s.sketch_bits
-    parity = np.bincount(cell.ravel(), minlength=len(sets) * s.sketch_bits) & 1
-    sketch = np.packbits(parity.astype(np.uint8)).reshape(len(sets), -1).view(np.int64)
-    return _mixed(keys).T.view(np.int64) if keys.size else keys.T.view(np.int64), sketch
+    The hashes are sorted and their leading bits name the bin, so the first of a bin is the least.
+    """
+    bins = hashes >> np.uint64(64 - (s.bins - 1).bit_length())
+    least = hashes[np.concatenate([[True], bins[1:] != bins[:-1]])]
+    bit = (_mixed(least ^ np.uint64(s.seed)) % np.uint64(s.sketch_bits)).astype(np.int64)
+    parity = np.bincount(bit, minlength=s.sketch_bits) & 1
+    return np.packbits(parity.astype(np.uint8)).view(np.int64), len(least)
 
 
 def _blocks(sets: list[np.ndarray]) -> Iterator[list[int]]:
@@ -133,7 +133,7 @@ def _blocks(sets: list[np.ndarray]) -> Iterator[list[int]]:
 
 
 def signatures(docs: DataFrame, settings: NearDuplicates, id_col: str, text_col: str) -> DataFrame:
-    """``id``, ``n_shingles``, ``set_digest``, ``bands``, ``sketch``; NULL for texts without words."""
+    """``id``, ``n_shingles``, ``set_digest``, ``bands``, ``sketch``, ``samples``; NULL for texts without words."""
     source = docs.select(F.col(id_col).alias("id"), whole_text(text_col).cast("binary").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
 
@@ -142,23 +142,23 @@ def signatures(docs: DataFrame, settings: NearDuplicates, id_col: str, text_col:
             sets = [shingle_hashes(t.as_py(), settings.words) for t in batch.column("text")]
             digests = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets]
             bands: list = [None] * len(sets)
-            sketches: list = [None] * len(sets)
             for block in _blocks(sets):
-                keys, sketch = _signatures([sets[i] for i in block], settings)
-                for at, i in enumerate(block):
-                    bands[i], sketches[i] = keys[at], sketch[at]
+                for i, keys in zip(block, _band_keys([sets[i] for i in block], settings)):
+                    bands[i] = keys
+            folded = [odd_sketch(x, settings) if len(x) else (None, 0) for x in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"),
                     pa.array(map(len, sets), pa.int64()),
                     pa.array(digests, pa.binary()),
                     pa.array(bands, pa.list_(pa.int64())),
-                    pa.array(sketches, pa.list_(pa.int64())),
+                    pa.array([x for x, _ in folded], pa.list_(pa.int64())),
+                    pa.array([n for _, n in folded], pa.int32()),
                 ],
-                names=["id", "n_shingles", "set_digest", "bands", "sketch"],
+                names=["id", "n_shingles", "set_digest", "bands", "sketch", "samples"],
             )
 
-    schema = f"id {kind}, n_shingles bigint, set_digest binary, bands array<bigint>, sketch array<bigint>"
+    schema = f"id {kind}, n_shingles bigint, set_digest binary, bands array<bigint>, sketch array<bigint>, samples int"
     return source.mapInArrow(run, schema)
 
 
@@ -181,54 +181,101 @@ def full_sets(docs: DataFrame, ids: DataFrame, words: int, id_col: str, text_col
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, s: NearDuplicates, id_col: str, text_col: str) -> Stage:
     """Of the pairs ``a`` < ``b``, those whose full sets are similar enough."""
-    ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair_ids")
+    ids = stage(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "pair_ids")
     sets = stage(full_sets(docs, ids.df, s.words, id_col, text_col), "pair_sets")
     side = {x: sets.df.select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab"}
     joined = pairs.join(side["b"], "b").join(side["a"], "a")
     both = F.size(F.array_intersect("set_a", "set_b")).cast("bigint")
     union = F.size("set_a") + F.size("set_b") - both
-    links = stage(joined.where(100 * both >= s.percent * union).select("a", "b").distinct(), "pair_links")
+    links = stage(joined.where(100 * both >= s.percent * union).select("a", "b"), "pair_links")
     ids.release()
     sets.release()
     return links
 
 
-def _difference(a: Column, b: Column, bits: int) -> Column:
-    """Bits in which two odd sketches differ."""
-    parts = [F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(bits // 64)]
-    return sum(parts[1:], parts[0])
+SKETCHED = ("n_shingles", "samples", "sketch")
+
+
+def sketches_close(s: NearDuplicates, a: str = "_a", b: str = "_b") -> Column:
+    """Whether two sketches may belong to a pair at or above the threshold.
+
+    Of all samples of such a pair, ``share / (1 + share)`` are common. Where samples were drawn,
+    six deviations of the draw are allowed; where every hash is a sample there are none. Bits
+    only cancel out, so the XOR count never exceeds the number of differing samples, and
+    stays within six deviations of what so many flips leave.
+    """
+    n, share = float(s.sketch_bits), s.percent / 100
+    size = {x: F.col(f"n_shingles{x}").cast("double") for x in (a, b)}
+    kept = {x: F.col(f"samples{x}").cast("double") for x in (a, b)}
+    both = kept[a] + kept[b]
+    drawn = 1 - F.least(kept[a] / size[a], kept[b] / size[b])
+    common = share / (1 + share) * both - 6 * F.sqrt(share * (1 - share) / (1 + share) * both * drawn)
+    flips = both - 2 * common
+    left = F.exp(-4 / n * flips)
+    spread = F.sqrt(F.greatest(n / 4 * (1 - left) - flips * left, F.lit(1.0)))
+    limit = F.least(flips + 1e-6, n / 2 * (1 - F.sqrt(left)) + 6 * spread)
+    words = [
+        F.bit_count(F.get(f"sketch{a}", F.lit(i)).bitwiseXOR(F.get(f"sketch{b}", F.lit(i))))
+        for i in range(s.sketch_bits // 64)
+    ]
+    fits = F.least(size[a], size[b]) >= share * F.greatest(size[a], size[b])
+    return fits & (sum(words[1:], words[0]) <= limit)
+
+
+def _sides(df: DataFrame, *columns: str) -> list[DataFrame]:
+    """The table twice, columns ending in _a and in _b."""
+    return [df.select(*[F.col(c).alias(f"{c}_{x}") for c in columns]) for x in "ab"]
+
+
+def _bucket_members(reps: DataFrame) -> Stage:
+    """``band``, ``id``, ``weight`` of classes that share a bucket; the weight is how much they share."""
+    banded = reps.select("id", F.explode("bands").alias("band"))
+    shared = stage(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "shared_bands")
+    rows = stage(banded.join(shared.df, "band").select("band", "id", "n"), "banded")
+    weights = stage(rows.df.groupBy("id").agg(F.sum("n").alias("weight")), "weights")
+    members = stage(rows.df.join(weights.df, "id").select("band", "id", "weight"), "bucket_members")
+    for s in (shared, rows, weights):
+        s.release()
+    return members
 
 
 def _star_pairs(reps: DataFrame, members: DataFrame, s: NearDuplicates) -> Stage:
-    """Per class the smallest class at the head of one of its buckets with a close sketch."""
-    heads = members.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    side = {x: reps.select(F.col("id").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in "ab"}
-    close = heads.join(side["b"], "b").join(side["a"], "a").where(
-        _difference(F.col("sketch_a"), F.col("sketch_b"), s.sketch_bits) <= s.sketch_limit()
-    )
-    return stage(close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "star_pairs")
+    """Per class the head of most of its buckets, if the sketches are close."""
+    rank = F.struct("weight", (-F.col("id")).alias("id"))
+    heads = members.groupBy("band").agg(F.max(rank).alias("top")).select("band", (-F.col("top.id")).alias("head"))
+    heads = stage(heads, "bucket_heads")
+    votes = members.join(heads.df, "band").where("id <> head").groupBy("id", "head").agg(F.count("*").alias("n"))
+    best = votes.groupBy("id").agg(F.max(F.struct("n", (-F.col("head")).alias("head"))).alias("top"))
+    chosen = stage(best.select(F.col("id").alias("id_b"), (-F.col("top.head")).alias("id_a")), "chosen")
+    side_a, side_b = _sides(reps, "id", *SKETCHED)
+    close = chosen.df.join(side_b, "id_b").join(side_a, "id_a").where(sketches_close(s))
+    ends = F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")
+    pairs = stage(close.select(*ends).distinct(), "star_pairs")
+    heads.release()
+    chosen.release()
+    return pairs
 
 
 def _cross_pairs(reps: DataFrame, members: DataFrame, comps: DataFrame, s: NearDuplicates) -> DataFrame:
-    """Pairs of one bucket in different components with close sketches."""
-    placed = stage(
-        members.select("band", "id")
-        .join(comps.select(F.col("node").alias("id"), "component"), "id", "left")
-        .select("band", "id", F.coalesce("component", "id").alias("component")),
-        "placed",
-    ).df
-    mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    mixed = stage(mixed.where("lo <> hi").select("band"), "mixed_bands").df
-    sketched = stage(
-        placed.join(mixed, "band").join(reps.select("id", "sketch"), "id").select("band", "id", "component", "sketch"),
-        "sketched",
-    ).df
-    a, b = (sketched.select("band", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "component", "sketch")]) for x in "ab")
-    near = _difference(F.col("sketch_a"), F.col("sketch_b"), s.sketch_bits) <= s.sketch_limit()
-    apart = (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b"))
-    return (
-        a.join(b, "band").where(apart & near).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    """Pairs of one bucket in different components with close sketches.
+
+    At least one class of such a pair lies outside the largest component of its bucket, so
+    only those classes are compared with the others.
+    """
+    placed = members.select("band", "id").join(comps.select(F.col("node").alias("id"), "component"), "id", "left")
+    placed = stage(placed.select("band", "id", F.coalesce("component", "id").alias("component")), "placed").df
+    counts = placed.groupBy("band", "component").agg(F.count("*").alias("n"))
+    top = counts.groupBy("band").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("components"))
+    mixed = stage(top.where("components > 1").select("band", F.col("top.component").alias("main")), "mixed_bands").df
+    rows = placed.join(mixed, "band").join(reps.select("id", *SKETCHED), "id")
+    rows = stage(rows.select("band", "id", "component", "main", *SKETCHED), "sketched").df
+    side_a, side_b = _sides(rows, "band", "id", "component", "main", *SKETCHED)
+    once = (F.col("component_b") == F.col("main_b")) | (F.col("id_a") < F.col("id_b"))
+    apart = F.col("component_a") != F.col("component_b")
+    close = side_a.where("component_a <> main_a").join(
+        side_b, (F.col("band_a") == F.col("band_b")) & apart & once & sketches_close(s)
     )
+    return close.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
 def near_duplicates(
@@ -247,14 +294,9 @@ def near_duplicates(
     with_words = signed.df.where(F.col("id").isNotNull() & F.col("set_digest").isNotNull())
     classes = stage(with_words.groupBy("set_digest").agg(F.min("id").alias("class_id")), "classes").df
     speaks = with_words.join(classes.withColumnRenamed("class_id", "id"), ["set_digest", "id"], "left_semi")
-    reps = stage(speaks.dropDuplicates(["set_digest", "id"]).select("id", "bands", "sketch"), "class_reps")
-
-    banded = reps.df.select("id", F.explode("bands").alias("band"))
-    heads = banded.groupBy("band").agg(F.min("id").alias("head"), F.max("id").alias("last"))
-    heads = stage(heads.where("head <> last").select("band", "head"), "bucket_heads")
-    members = stage(banded.join(heads.df, "band").distinct(), "bucket_members")
-    heads.release()
+    reps = stage(speaks.dropDuplicates(["set_digest", "id"]).select("id", "bands", *SKETCHED), "class_reps")
 
+    members = _bucket_members(reps.df)
     star = _star_pairs(reps.df, members.df, s)
     links = _confirmed(star.df, docs, s, id_col, text_col)
     first = components(links.df)
@@ -285,5 +327,5 @@ def drop_near_duplicates(
 ) -> DataFrame:
     """The documents that stay, with all their columns: the smallest ID of each component."""
     marks = near_duplicates(docs, settings, id_col, text_col)
-    gone = stage(marks.where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "near_gone").df
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = stage(marks.where("not kept").select("doc_id").distinct(), "near_gone").df
+    return docs.join(gone, docs[id_col] == gone["doc_id"], "left_anti")
