@@ -65,8 +65,7 @@ def task_dataset_layout(spark, d):
 
 
 def split_manifest(spark, d):
-    manifest = merging.split_manifest(_merged_split(spark, d), test_size=TEST_SIZE, seed=SEED)
-    return manifest.withColumn("file_ids", F.array_join("file_ids", ","))
+    return merging.split_manifest(_merged_split(spark, d), test_size=TEST_SIZE, seed=SEED)
 
 
 def split_overlap(spark, d):
@@ -105,8 +104,8 @@ def upsert_pairs(spark, d):
         F.col("source").alias("file_id"), F.col("doc_id").alias("seq"), "lang", F.md5("text").alias("out")
     )
     stored = docs.drop("lang")
-    redone = pairs.keep_last(docs.where("lang = 'fr'").drop("lang"), ["file_id"], "seq")
-    fresh = pairs.keep_last(docs.select(F.concat(F.lit("lang-"), "lang").alias("file_id"), "seq", "out"), ["file_id"], "seq")
+    redone = docs.where("lang = 'fr'").drop("lang")
+    fresh = docs.select(F.concat(F.lit("lang-"), "lang").alias("file_id"), "seq", "out")
     return pairs.upsert_pairs(stored, redone.unionByName(fresh))
 
 
@@ -265,9 +264,9 @@ ORACLES = {
         gone_ids=_EXCLUDED,
     ),
     "split_manifest": with_views(
-        f"""SELECT merged_task, split, count(*) AS n_ids, CAST(0 AS BIGINT) AS part_no,
-            string_agg(file_id, ',' ORDER BY file_id) AS file_ids, CAST({TEST_SIZE} AS DOUBLE) AS test_size, {SEED} AS seed
-        FROM splits GROUP BY merged_task, split""",
+        f"""SELECT merged_task, split, row_number() OVER (PARTITION BY merged_task, split ORDER BY file_id) - 1 AS position,
+            file_id, count(*) OVER (PARTITION BY merged_task, split) AS n_ids,
+            CAST({TEST_SIZE} AS DOUBLE) AS test_size, {SEED} AS seed FROM splits""",
         "last_labels",
         gone_ids=_EXCLUDED,
         remaining="SELECT * FROM last_labels WHERE file_id NOT IN (SELECT file_id FROM gone_ids)",

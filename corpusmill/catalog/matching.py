@@ -9,12 +9,6 @@ from corpusmill.catalog.views import LABELS, with_views
 from corpusmill.functions.ids import id_order, normalize_id
 from corpusmill.functions.text import slug
 from corpusmill.operators import matching, profiles, reconcile
-from corpusmill.plans.materialize import materialize
-
-
-def _matches(spark, d):
-    """The match output, written once: several scripts of a run read it."""
-    return materialize(matching.match_files(v.text_files(spark, d), v.metadata(spark, d)))
 
 
 def _by_id(df, *more):
@@ -44,10 +38,10 @@ QUERIES = {
     "conflict_details": lambda s, d: _by_id(
         reconcile.conflict_details(v.text_files(s, d), v.metadata(s, d), LABELS), "distinct_label_tuple"
     ),
-    "duplicate_summary": lambda s, d: reconcile.duplicate_summary(_matches(s, d), LABELS),
-    "usable_labels": lambda s, d: reconcile.usable_labels(_matches(s, d), LABELS),
-    "usable_statistics": lambda s, d: reconcile.usable_statistics(_matches(s, d), LABELS),
-    "label_mismatches": lambda s, d: reconcile.label_mismatches(_matches(s, d), LABELS),
+    "duplicate_summary": lambda s, d: reconcile.duplicate_summary(v.text_files(s, d), v.metadata(s, d), LABELS),
+    "usable_labels": lambda s, d: reconcile.usable_labels(v.text_files(s, d), v.metadata(s, d), LABELS),
+    "usable_statistics": lambda s, d: reconcile.usable_statistics(v.text_files(s, d), v.metadata(s, d), LABELS),
+    "label_mismatches": lambda s, d: reconcile.label_mismatches(v.text_files(s, d), v.metadata(s, d), LABELS),
     "label_distribution": lambda s, d: profiles.label_distribution(_usable(s, d), LABELS),
     "modal_label": lambda s, d: profiles.modal_label(_usable(s, d), LABELS),
     "complete_binary_rows": lambda s, d: profiles.complete_binary_rows(_usable(s, d), LABELS),
@@ -61,6 +55,8 @@ _SHARES = """SELECT *, CAST(format('{:.2f}', CAST(count AS DOUBLE) / CAST(sum(co
     AS percent FROM counts"""
 _KINDS = """SELECT f.text_file, a.file_id, a.n_metadata_rows, a.k FROM files f JOIN agreed a ON f.file_id = a.file_id"""
 _ORDERED = "ORDER BY text_file, metadata_row"
+_PLACED = f"""SELECT file_id, metadata_row, matched_ids,
+    row_number() OVER (PARTITION BY file_id {_ORDERED}, matched_ids) - 1 AS position FROM matches"""
 
 ORACLES = {
     "normalize_id": with_views(
@@ -123,28 +119,25 @@ ORACLES = {
         kinds=_KINDS,
     ),
     "duplicate_summary": with_views(
-        f"""SELECT file_id, CAST(0 AS BIGINT) AS part_no, count(*) AS row_count,
-            count(DISTINCT (label_a, label_b)) AS unique_prediction_count,
-            count(DISTINCT (label_a, label_b)) = 1 AS predictions_same,
-            string_agg(CAST(metadata_row AS VARCHAR), ',' {_ORDERED}) AS metadata_rows,
-            array_to_string(list_filter(cells, lambda c, i: list_position(cells, c) = i), ' | ') AS matched_ids_values,
+        f"""SELECT file_id, position, metadata_row, matched_ids,
+            position = min(position) OVER (PARTITION BY file_id, matched_ids) AS first_of_cell, row_count,
+            k AS unique_prediction_count, k = 1 AS predictions_same, label_a, label_b
+        FROM placed JOIN (SELECT file_id, count(*) AS row_count, count(DISTINCT (label_a, label_b)) AS k,
             first(label_a {_ORDERED}) AS label_a, first(label_b {_ORDERED}) AS label_b
-        FROM (SELECT *, list(matched_ids) OVER (PARTITION BY file_id {_ORDERED}
-            ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS cells FROM matches)
-        GROUP BY file_id, cells HAVING count(*) > 1""",
+            FROM matches GROUP BY file_id HAVING count(*) > 1) USING (file_id)""",
         "matches",
+        placed=_PLACED,
     ),
     "usable_labels": with_views(
-        f"""SELECT first(text_file {_ORDERED}) AS text_file, file_id, CAST(0 AS BIGINT) AS part_no,
-            CASE WHEN count(*) = 1 THEN 'single_match' ELSE 'duplicate_same_labels' END AS source_match_status,
-            count(*) AS source_row_count, string_agg(CAST(metadata_row AS VARCHAR), ',' {_ORDERED}) AS metadata_rows,
-            first(matched_ids {_ORDERED}) AS matched_ids,
-            array_to_string(list_filter(cells, lambda c, i: list_position(cells, c) = i), ' | ') AS matched_ids_values,
+        """SELECT text_file, file_id, position, metadata_row, matched_ids,
+            position = min(position) OVER (PARTITION BY file_id, matched_ids) AS first_of_cell,
+            CASE WHEN n = 1 THEN 'single_match' ELSE 'duplicate_same_labels' END AS source_match_status,
+            n AS source_row_count, label_a, label_b
+        FROM placed JOIN (SELECT file_id, min(text_file) AS text_file, count(*) AS n,
             min(label_a) AS label_a, min(label_b) AS label_b
-        FROM (SELECT *, list(matched_ids) OVER (PARTITION BY file_id {_ORDERED}
-            ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS cells FROM matches)
-        GROUP BY file_id, cells HAVING count(DISTINCT (label_a, label_b)) = 1""",
+            FROM matches GROUP BY file_id HAVING count(DISTINCT (label_a, label_b)) = 1) USING (file_id)""",
         "matches",
+        placed=_PLACED,
     ),
     "usable_statistics": with_views(
         """SELECT CAST(sum(n) AS BIGINT) AS input_rows, count(*) AS matched_ids,

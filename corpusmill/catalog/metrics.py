@@ -55,7 +55,7 @@ def sweep(spark, d):
 
 
 def prior(spark, d):
-    preds = metrics.with_prior(_scored(spark, d), train_labels(spark, d))
+    preds = metrics.with_prior(metrics.complete_runs(v.predictions(spark, d)), train_labels(spark, d))
     decided = metrics.decide(preds, "prob", "prior")
     return decided.groupBy("run", "task").agg(
         F.round(F.max("prior"), 9).alias("prior"), F.sum("y_pred").alias("n_pred_pos")
@@ -93,10 +93,10 @@ def compared(spark, d):
 
 
 def violations(spark, d):
-    """Runs of all answers; the summary lacks a task that nobody labelled and repeats none."""
+    """Runs of all answers and one that is absent; some lines stand twice, one task has none."""
     rows = metrics.confusion(metrics.decide(v.answered(spark, d), "greedy")).withColumnRenamed("run", "model")
     doubled = rows.unionByName(rows.where("tp > fp"))
-    return guards.summary_violations(doubled, ["quality", "toxic", "unseen"])
+    return guards.summary_violations(doubled, ["quality", "toxic", "unseen"], [("run0",), ("run1",), ("run9",)])
 
 
 def scored_batches(spark, d):
@@ -147,8 +147,9 @@ QUERIES = {
     "metrics_rows": _summary,
     "compare_runs": compared,
     "results_table": lambda s, d: reports.results_table(_summary(s, d), ["run0", "run1"], keys=["task"], condition="run"),
-    "decision_arms": lambda s, d: reports.decision_arms(_scored(s, d).join(
-        v.answered(s, d).select("file_id", "task", "raw_output"), ["file_id", "task"]), train_labels(s, d), ARMS),
+    "decision_arms": lambda s, d: reports.decision_arms(
+        metrics.complete_runs(v.answered(s, d)), train_labels(s, d), ARMS
+    ),
     "summary_violations": violations,
     "batch_score": scored_batches,
     "retry_rounds": retried,
@@ -229,8 +230,9 @@ ORACLES = {
     ),
     "prior_threshold": with_views(
         """SELECT run, p.task, round(max(prior), 9) AS prior, CAST(sum(CAST(p_yes >= prior AS INTEGER)) AS BIGINT) AS n_pred_pos
-        FROM preds p JOIN priors q ON p.task = q.task WHERE p_yes IS NOT NULL GROUP BY run, p.task""",
-        "preds",
+        FROM complete p JOIN priors q ON p.task = q.task GROUP BY run, p.task""",
+        "answered",
+        complete=_COMPLETE,
         splits=_SPLITS,
         priors=_PRIOR,
     ),
@@ -282,14 +284,16 @@ ORACLES = {
         "answered",
         splits=_SPLITS,
         priors=_PRIOR,
-        scored="SELECT a.*, prior FROM answered a JOIN priors q ON a.task = q.task WHERE p_yes IS NOT NULL",
+        complete=_COMPLETE,
+        scored="SELECT a.*, prior FROM complete a JOIN priors q ON a.task = q.task",
         **_arm("greedy_arm", "coalesce(parsed, 0)"),
         **_arm("half_arm", "CAST(p_yes >= 0.5 AS INTEGER)"),
         **_arm("prior_arm", "CAST(p_yes >= prior AS INTEGER)"),
     ),
     "summary_violations": with_views(
         """SELECT run AS model, task, 'duplicate' AS problem FROM counts WHERE tp > fp
-        UNION ALL SELECT DISTINCT run, 'unseen', 'missing' FROM counts""",
+        UNION ALL SELECT DISTINCT run, 'unseen', 'missing' FROM counts
+        UNION ALL SELECT 'run9', unnest(['quality', 'toxic', 'unseen']), 'missing'""",
         "answered",
         counts=_counts("run, task", "answered", "coalesce(parsed, 0)"),
     ),

@@ -219,11 +219,13 @@ ORACLES = {
     "mean_pool": """SELECT label, CAST(position - 1 AS INTEGER) AS position, round(avg(value), 6) AS value
         FROM (SELECT label, unnest(range(1, len(embedding) + 1)) AS position, unnest(embedding)::DOUBLE AS value FROM embeddings)
         GROUP BY label, position""",
-    "render_chat": """SELECT conv_id, CAST(0 AS BIGINT) AS part_no, count(*) AS n_turns, concat(string_agg(CASE role
+    "render_chat": """SELECT conv_id, position, n_turns, concat(CASE role
             WHEN 'system' THEN concat('<User>: ', text, chr(10), chr(10))
-            WHEN 'user' THEN concat(CASE WHEN first_turn = turn THEN '<User>: ' ELSE '' END, text)
-            WHEN 'assistant' THEN concat(' <Assistant>: ', text, '</s>') ELSE '' END, '' ORDER BY turn), ' <Assistant>:') AS prompt
-        FROM (SELECT *, min(turn) OVER (PARTITION BY conv_id) AS first_turn FROM conversations) GROUP BY conv_id""",
+            WHEN 'user' THEN concat(CASE WHEN position = 0 THEN '<User>: ' ELSE '' END, text)
+            WHEN 'assistant' THEN concat(' <Assistant>: ', text, '</s>') ELSE '' END,
+            CASE WHEN position = n_turns - 1 THEN ' <Assistant>:' ELSE '' END) AS prompt
+        FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position,
+            count(*) OVER (PARTITION BY conv_id) AS n_turns FROM conversations)""",
     "render_messages": """SELECT doc_id AS file_id, md5(concat('<User>: You are a careful annotator.', chr(10), chr(10),
             'Does the text show property A?', chr(10), chr(10), text, ' <Assistant>:')) AS prompt FROM documents""",
 }

@@ -112,8 +112,10 @@ def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def translations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with its successor; the first one follows the last."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("out"))
+    ring = table(spark, sf_dir, "documents").agg(F.max("doc_id") + 1).first()[0] or 1
+    after = docs.select(F.pmod(F.col("doc_id") - 1, F.lit(ring)).alias("doc_id"), F.col("text").alias("out"))
     return docs.join(after, "doc_id").select(F.col("doc_id").alias("file_id"), F.col("text").alias("src"), "out")
 
 
@@ -166,7 +168,7 @@ SQL: dict[str, str] = {
         CASE file_id % 7 WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 0 WHEN 4 THEN NULL
             WHEN 5 THEN 1 ELSE 0 END AS parsed FROM preds""",
     "pairs": "SELECT s.doc_id AS file_id, s.text AS src, o.text AS out "
-    "FROM documents s JOIN documents o ON o.doc_id = s.doc_id + 1",
+    "FROM documents s JOIN documents o ON o.doc_id = (s.doc_id + 1) % (SELECT max(doc_id) + 1 FROM documents)",
     "corpus": """SELECT n.text_file, d.text FROM text_file_names n
         JOIN documents d ON d.doc_id = n.o_orderkey % (SELECT count(*) FROM documents)""",
 }

@@ -11,30 +11,37 @@ _HALF_SCALE = float(2**40)
 
 
 def python_round(c: Column | str, digits: int) -> Column:
-    """``round(x, digits)`` as Python does it, for x >= 0 and digits <= 4.
+    """``round(x, digits)`` as Python does it, for digits <= 4.
 
     Python rounds the exact binary value, ties to even; Spark rounds the printed
-    decimal. The value is taken apart into an integer count of 2**-80 steps, which
-    is exact, and rounded in decimal arithmetic. From 2**20 on, where the printed decimal
-    of a ratio decides the same, ``bround`` is used.
+    decimal. Sign and whole part are set aside, and the fraction is taken apart into an
+    integer count of 2**-80 steps, which decimal arithmetic rounds. What a smaller fraction
+    has beyond that lies far from any tie. From 2**52 on, doubles are whole numbers.
     """
     if not 0 <= digits <= 4:
         raise ValueError("digits must be between 0 and 4")
     x = col(c).cast("double")
-    high = F.floor(x * _HALF_SCALE)
-    low = F.floor((x * _HALF_SCALE - high.cast("double")) * _HALF_SCALE)
+    size = F.abs(x)
+    whole = F.floor(F.when(size < float(2**52), size))
+    fraction = size - whole.cast("double")
+    high = F.floor(fraction * _HALF_SCALE)
+    low = F.floor((fraction * _HALF_SCALE - high.cast("double")) * _HALF_SCALE)
     step = F.lit(str(2**40)).cast("decimal(13,0)")
     unit = F.lit(str(2**80)).cast("decimal(25,0)")
     scale = F.lit(str(10**digits)).cast("decimal(5,0)")
-    scaled = ((high.cast("decimal(19,0)") * step + low.cast("decimal(14,0)")).cast("decimal(33,0)") * scale).cast(
-        "decimal(38,0)"
+    scaled = ((high.cast("decimal(13,0)") * step + low.cast("decimal(13,0)")).cast("decimal(25,0)") * scale).cast(
+        "decimal(30,0)"
     )
     rest = (scaled % unit).cast("decimal(25,0)")
-    whole = F.floor((scaled - rest).cast("decimal(38,0)") / unit).cast("bigint")
+    part = F.floor((scaled - rest).cast("decimal(38,0)") / unit).cast("bigint")
     twice = (rest * F.lit("2").cast("decimal(1,0)")).cast("decimal(27,0)")
-    up = F.when(twice > unit, 1).when(twice < unit, 0).otherwise(whole % 2)
-    exact = (whole + up).cast("double") / F.lit(float(10**digits))
-    return F.when(x >= float(2**20), F.bround(x, digits)).otherwise(exact)
+    odd = (part + whole if digits == 0 else part) % 2
+    up = F.when(twice > unit, 1).when(twice < unit, 0).otherwise(odd)
+    total = (whole.cast("decimal(16,0)") * scale).cast("decimal(21,0)") + (part + up).cast("decimal(6,0)")
+    back = F.lit(f"{10**-digits:.{digits}f}").cast(f"decimal({digits + 1},{digits})")
+    exact = (total.cast("decimal(22,0)") * back).cast("double")
+    signed = F.when(x < 0, -exact).otherwise(exact)
+    return F.when(size < float(2**52), signed).otherwise(x)
 
 
 def fixed2(c: Column | str) -> Column:

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import col, fill_template
+from corpusmill.plans.prefix import dense_positions
 
 # Markers of the plain chat layout.
 USER_MARK = "<User>: "
 ASSISTANT_MARK = " <Assistant>: "
 GENERATION_MARK = " <Assistant>:"
 
-TURNS_PER_PART = 100_000
-
 
 def to_messages(
     instruction: Column | str, text: Column | str, system: str, template: str = "{instruction}\n\n{text}"
@@ -33,8 +31,9 @@ def turn_text(role: Column, content: Column, is_first: Column, eos: str) -> Colu
     """Rendered text of one turn.
 
     A system turn opens the user turn that follows; the user marker is written only
-    where the conversation starts with a user turn.
+    where the conversation starts with a user turn. NULL content is blank, its markers stay.
     """
+    content = F.coalesce(content, F.lit(""))
     return (
         F.when(role == "system", F.concat(F.lit(USER_MARK), content, F.lit("\n\n")))
         .when(role == "user", F.concat(F.when(is_first, USER_MARK).otherwise(""), content))
@@ -57,34 +56,18 @@ def render_chat(
     add_generation_prompt: bool = False,
     id_col: str = "conv_id",
     turn: str = "turn",
-    turns_per_part: int = TURNS_PER_PART,
 ) -> DataFrame:
-    """Prompt text per conversation, from one row per turn.
+    """Prompt text of each turn at its place in the conversation, from one row per turn.
 
-    Turns are gathered per block of ``turns_per_part`` turn numbers. Only a conversation
-    longer than that has several parts; its text is their concatenation in order. The
-    first and last turn of a conversation are found from one small row per block.
+    The prompt of a conversation is the concatenation of its turns; turn numbers need only
+    order them. Conversations have one shape at any length. The last turn carries the
+    generation marker.
     """
-    part = F.floor(F.col(turn) / F.lit(turns_per_part)).cast("bigint").alias("part_no")
-    blocks = turns.groupBy(id_col, part).agg(
-        F.sort_array(F.collect_list(F.struct(turn, "role", "text"))).alias("_turns")
-    )
-    conversation = Window.partitionBy(id_col)
-    ends = (
-        turns.groupBy(id_col, part)
-        .agg(F.min(turn).alias("_low"), F.max(turn).alias("_high"))
-        .select(
-            id_col,
-            "part_no",
-            F.min("_low").over(conversation).alias("_first"),
-            (F.col("_high") == F.max("_high").over(conversation)).alias("_is_last"),
-        )
-    )
-    texts = F.transform("_turns", lambda t: turn_text(t["role"], t["text"], t[turn] == F.col("_first"), eos))
-    closing = F.when(F.col("_is_last"), F.lit(GENERATION_MARK if add_generation_prompt else "")).otherwise("")
-    return blocks.join(ends, [id_col, "part_no"]).select(
-        id_col,
-        "part_no",
-        F.size("_turns").cast("bigint").alias("n_turns"),
-        F.concat(F.array_join(texts, ""), closing).alias("prompt"),
+    placed = dense_positions(turns.select(id_col, turn, "role", "text"), [id_col], [turn, "role", "text"])
+    sizes = turns.groupBy(id_col).agg(F.count("*").alias("n_turns"))
+    text = turn_text(F.col("role"), F.col("text"), F.col("position") == 0, eos)
+    last = F.col("position") == F.col("n_turns") - 1
+    closing = F.when(last, F.lit(GENERATION_MARK if add_generation_prompt else "")).otherwise("")
+    return placed.join(sizes, id_col).select(
+        id_col, "position", "n_turns", F.concat(text, closing).alias("prompt")
     )

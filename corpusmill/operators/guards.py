@@ -87,16 +87,22 @@ def label_map_diff(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("fi
 
 
 def summary_violations(
-    summary: DataFrame, expected_tasks: Sequence[str], keys: Sequence[str] = ("model",)
+    summary: DataFrame,
+    expected_tasks: Sequence[str],
+    expected_runs: Sequence[Sequence[str]] = (),
+    keys: Sequence[str] = ("model",),
 ) -> DataFrame:
-    """Tasks that a run's summary holds more than once, or lacks."""
+    """Tasks that a run's summary holds more than once, or lacks.
+
+    Every run that occurs must hold all tasks, and so must the ``expected_runs`` (values of
+    ``keys``), which need not occur at all.
+    """
     counts = summary.groupBy(*keys, "task").agg(F.count("*").alias("n"))
     repeated = counts.where("n > 1").select(*keys, "task", F.lit("duplicate").alias("problem"))
-    wanted = F.array(*[F.lit(t) for t in sorted(expected_tasks)])
-    known = F.collect_set(F.when(F.col("task").isin(*expected_tasks), F.col("task")))
-    lacking = (
-        counts.groupBy(*keys)
-        .agg(known.alias("_known"))
-        .select(*keys, F.explode(F.array_except(wanted, "_known")).alias("task"), F.lit("missing").alias("problem"))
-    )
-    return repeated.unionByName(lacking)
+    runs = counts.select(*keys)
+    if expected_runs:
+        names = summary.sparkSession.createDataFrame([tuple(r) for r in expected_runs], runs.schema)
+        runs = runs.unionByName(names)
+    tasks = F.explode(F.array(*[F.lit(t) for t in sorted(set(expected_tasks))])).alias("task")
+    lacking = runs.distinct().select(*keys, tasks).join(counts.select(*keys, "task"), [*keys, "task"], "left_anti")
+    return repeated.unionByName(lacking.select(*keys, "task", F.lit("missing").alias("problem")))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.plans.materialize import small_lookup
-from corpusmill.plans.parts import LIST_LIMIT, list_part, part_count, spread_number
+from corpusmill.plans.prefix import dense_positions
 
 Groups = Mapping[str, Sequence[str]]
 
@@ -78,24 +78,14 @@ def split_manifest(
     id_col: str = "file_id",
     test_size: float = 0.2,
     seed: int = 42,
-    list_limit: int = LIST_LIMIT,
 ) -> DataFrame:
-    """ID lists of every group and split, with sizes and settings.
+    """IDs of every group and split at their sorted places, with sizes and settings.
 
-    A list holds about ``list_limit`` IDs at most; larger splits come in several
-    parts, so no task gathers a whole split.
+    One line per ID at any size. The number of groups and splits is that of a registry.
     """
     cell = [group, "split"]
-    sizes = rows.groupBy(*cell).agg(F.count("*").alias("n_ids"))
-    part = list_part(spread_number(id_col), part_count(F.col("n_ids"), list_limit))
-    placed = rows.join(small_lookup(sizes), cell).withColumn("part_no", part)
-    return placed.groupBy(*cell, "n_ids", "part_no").agg(
-        F.sort_array(F.collect_list(F.col(id_col).cast("string"))).alias("file_ids")
-    ).select(
-        *cell,
-        "n_ids",
-        "part_no",
-        "file_ids",
-        F.lit(float(test_size)).alias("test_size"),
-        F.lit(seed).alias("seed"),
+    ids = rows.select(*cell, F.col(id_col).cast("string").alias(id_col))
+    sizes = ids.groupBy(*cell).agg(F.count("*").alias("n_ids"))
+    return dense_positions(ids, cell, [id_col]).join(small_lookup(sizes), cell).select(
+        *cell, "position", id_col, "n_ids", F.lit(float(test_size)).alias("test_size"), F.lit(seed).alias("seed")
     )

@@ -143,10 +143,22 @@ def decide(
         ).drop("_parsed")
     if mode == "greedy":
         return out.withColumn("y_pred", F.col("pred_greedy"))
-    limit = F.col(threshold) if isinstance(threshold, str) else F.lit(0.5 if threshold is None else threshold)
-    missing = F.raise_error(F.lit("mode 'prob' met a row without a score")).cast("int")
-    hit = (F.col(score) >= limit).cast("int")
-    return out.withColumn("y_pred", F.when(F.col(score).isNull(), missing).otherwise(hit))
+    return out.withColumn("y_pred", reaches(score, 0.5 if threshold is None else threshold))
+
+
+def reaches(score: str, threshold: float | str) -> Column:
+    """1 where the score reaches the threshold, a number or a column; fails where either is NULL."""
+    value, limit = F.col(score), known_limit(threshold)
+    missing = F.raise_error(F.lit("a row without a score cannot be decided by a threshold")).cast("int")
+    return F.when(value.isNull(), missing).otherwise((value >= limit).cast("int"))
+
+
+def known_limit(threshold: float | str) -> Column:
+    """The threshold as a column that fails where it is NULL, as for a task without train rows."""
+    if not isinstance(threshold, str):
+        return F.lit(float(threshold))
+    missing = F.raise_error(F.lit(f"no threshold in column {threshold!r}")).cast("double")
+    return F.coalesce(F.col(threshold), missing)
 
 
 def sweep_thresholds() -> list[tuple[str, float]]:
@@ -166,23 +178,20 @@ def threshold_sweep(
     prior). Rows are never multiplied by thresholds: each row counts how many thresholds
     its score reaches, and the counts of a group are summed from the top.
     """
-    limits = F.array(
-        *[
-            F.struct(
-                (F.col(t) if isinstance(t, str) else F.lit(float(t))).alias("threshold"),
-                F.lit(i).alias("position"),
-                F.lit(name).alias("threshold_name"),
-            )
-            for i, (name, t) in enumerate(thresholds)
-        ]
+    columns = list(dict.fromkeys(t for _, t in thresholds if isinstance(t, str)))
+    levels = F.sort_array(
+        F.array(
+            *[
+                F.struct(known_limit(t).alias("threshold"), F.lit(i).alias("position"), F.lit(name).alias("threshold_name"))
+                for i, (name, t) in enumerate(thresholds)
+            ]
+        )
     )
-    columns = [t for _, t in thresholds if isinstance(t, str)]
-    levels = F.sort_array(limits)
-    reached = F.size(F.filter("_levels", lambda x: x["threshold"] <= F.col(score)))
+    # A score reaches the lowest of the sorted thresholds, so their number says which.
+    reached = sum((F.coalesce(F.col(score) >= known_limit(t), F.lit(False)).cast("int") for _, t in thresholds), F.lit(0))
     per_level = (
         score_histogram(preds, [*by, *columns], score)
-        .withColumn("_levels", levels)
-        .groupBy(*by, "_levels", reached.alias("_reached"))
+        .groupBy(*by, *columns, reached.alias("_reached"))
         .agg(
             F.sum("pos").alias("pos"),
             F.sum("neg").alias("neg"),
@@ -191,7 +200,7 @@ def threshold_sweep(
     )
     # One entry per number of reached thresholds: at most len(thresholds) + 1 per group.
     groups = (
-        per_level.groupBy(*by, "_levels")
+        per_level.groupBy(*by, *columns)
         .agg(
             F.collect_list(F.struct("_reached", "pos", "neg")).alias("_counts"),
             F.sum("pos").alias("_pos"),
@@ -200,7 +209,7 @@ def threshold_sweep(
         )
         .where("_missing = 0")
     )
-    exploded = groups.select(*by, "_counts", "_pos", "_neg", F.posexplode("_levels").alias("_rank", "_level"))
+    exploded = groups.select(*by, "_counts", "_pos", "_neg", F.posexplode(levels).alias("_rank", "_level"))
 
     def above(name: str) -> Column:
         reaching = F.filter("_counts", lambda c: c["_reached"] > F.col("_rank"))
@@ -216,5 +225,3 @@ def threshold_sweep(
         "tp",
     )
     return confusion_metrics(counted)
-
-

@@ -40,11 +40,19 @@ def pending(texts: DataFrame, done: DataFrame, limit: int | None = None, id_col:
     return todo if limit is None else todo.orderBy(id_col).limit(limit)
 
 
-def swap_text(rows: DataFrame, pairs: DataFrame, id_col: str = "file_id", text: str = "text") -> DataFrame:
-    """Dataset rows with the counterpart text; all other columns unchanged."""
-    other = pairs.select(id_col, F.col("out").alias("_out"))
-    joined = rows.join(other, id_col)
-    return joined.select(*[F.col("_out").alias(text) if c == text else F.col(c) for c in rows.columns])
+def swap_text(
+    rows: DataFrame, pairs: DataFrame, id_col: str = "file_id", text: str = "text", order: str | None = None
+) -> DataFrame:
+    """Dataset rows with the counterpart text; all other columns unchanged.
+
+    Fails on a row without counterpart. Of several counterparts of one ID the last in
+    ``order`` counts, or the largest text.
+    """
+    other = keep_last(pairs.select(id_col, F.col("out").alias("_out"), *([order] if order else [])), [id_col], order or "_out")
+    joined = rows.join(other.select(id_col, "_out", F.lit(True).alias("_paired")), id_col, "left")
+    missing = F.raise_error(F.concat(F.lit("no counterpart text for "), F.col(id_col).cast("string"))).cast("string")
+    swapped = F.when(F.col("_paired"), F.col("_out")).otherwise(missing)
+    return joined.select(*[swapped.alias(text) if c == text else F.col(c) for c in rows.columns])
 
 
 def upsert_pairs(
@@ -52,15 +60,15 @@ def upsert_pairs(
 ) -> DataFrame:
     """Stored records with redone ones in their place.
 
-    Duplicates collapse to the first, redone records take over the position of the
-    record they replace, and new ones follow behind. Write the result to a new path
+    Stored duplicates collapse to the first, redone ones to the last. Redone records take over
+    the position of the record they replace, and new ones follow behind. Write the result to a new path
     before swapping it in: Spark cannot overwrite what it reads.
     """
     payload = [c for c in stored.columns if c not in (id_col, order)]
     old = keep_first(stored, [id_col], order).select(
         id_col, F.col(order).alias("_old_order"), F.struct(*payload).alias("_old")
     )
-    new = redone.select(id_col, F.col(order).alias("_new_order"), F.struct(*payload).alias("_new"))
+    new = keep_last(redone, [id_col], order).select(id_col, F.col(order).alias("_new_order"), F.struct(*payload).alias("_new"))
     merged = old.join(new, id_col, "full_outer")
     return merged.select(
         id_col,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.labels import BINARY_CELLS, cell_text
@@ -20,8 +20,10 @@ def label_distribution(
         [], list(labels), "prediction_column", "label_value"
     )
     counts = values.groupBy("prediction_column", "label_value").agg(F.count("*").alias("count"))
-    total = F.sum("count").over(Window.partitionBy("prediction_column"))
-    out = counts.withColumn("percent", percent(F.col("count"), total))
+    # One row per label column, so a broadcast has a bound; a window would gather all values of a column.
+    totals = counts.groupBy("prediction_column").agg(F.sum("count").alias("_total"))
+    share = percent(F.col("count"), F.col("_total")).alias("percent")
+    out = counts.join(F.broadcast(totals), "prediction_column").select(*counts.columns, share)
     return out.orderBy("prediction_column", F.desc("count"), "label_value") if ordered else out
 
 

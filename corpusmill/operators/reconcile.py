@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.labels import clean_labels
 from corpusmill.operators.matching import explode_ids, valid_files
-from corpusmill.plans.materialize import materialize
-from corpusmill.plans.parts import LIST_LIMIT, one_row_per_part, spread_number, with_parts
+from corpusmill.plans.prefix import dense_positions
 
 
 def label_rows(
@@ -89,20 +88,15 @@ def conflict_details(
 ) -> DataFrame:
     """Distinct label tuples of every file in conflict, numbered in sorted order.
 
-    The file name stands on the first line only, the total of rows on each.
+    The file name stands on the first line only, the total of rows on each. Numbers come
+    from running totals, so one ID may have any number of tuples.
     """
     tuples = label_rows(meta, labels, cell, strip_values)
-    per_id = Window.partitionBy("file_id")
-    numbered = (
-        tuples.withColumns(
-            {
-                "n_rows": F.sum("n").over(per_id),
-                "n_signatures": F.count("*").over(per_id),
-                "distinct_label_tuple": F.row_number().over(per_id.orderBy(*labels)),
-            }
-        )
-        .where("n_signatures > 1")
-        .drop("n", "n_signatures")
+    ids = tuples.groupBy("file_id").agg(F.sum("n").alias("n_rows"), F.count("*").alias("_variants"))
+    ids = ids.where("_variants > 1").drop("_variants")
+    of_conflicts = tuples.join(ids, "file_id").select("file_id", "n_rows", *labels)
+    numbered = dense_positions(of_conflicts, ["file_id"], labels).withColumn(
+        "distinct_label_tuple", (F.col("position") + 1).cast("int")
     )
     name = F.when(F.col("distinct_label_tuple") == 1, F.col("text_file")).otherwise("")
     return valid_files(files).join(numbered, "file_id").select(
@@ -110,115 +104,98 @@ def conflict_details(
     )
 
 
-def _with_lists(
-    rows: DataFrame, ids: DataFrame, id_col: str, row: str, cell: str, size: str, limit: int
+def id_summary(
+    files: DataFrame, meta: DataFrame, labels: Sequence[str], row: str, cell: str, strip_values: bool
 ) -> DataFrame:
-    """Per-ID rows joined with the row numbers and distinct cell values of the ID.
+    """Per ID with files and metadata: first file, numbers of files, rows and label tuples, first labels.
+
+    Files and metadata rows are counted apart; no file is paired with a row for it.
+    """
+    cleaned = clean_labels(meta.select(row, cell, *labels), labels, strip_values)
+    tuples = explode_ids(cleaned, cell).groupBy("file_id", *labels).agg(
+        F.count("*").alias("n"), F.min(F.struct(row, cell)).alias("_first")
+    )
+    ids = tuples.groupBy("file_id").agg(
+        F.sum("n").alias("_n_rows"),
+        F.count("*").alias("n_variants"),
+        F.min(F.struct("_first", *labels)).alias("_kept"),
+    )
+    per_id = valid_files(files).groupBy("file_id").agg(F.count("*").alias("n_files"), F.min("text_file").alias("text_file"))
+    return per_id.join(ids, "file_id").withColumn("row_count", F.col("n_files") * F.col("_n_rows")).drop("_n_rows")
 
-    Rows stand in input order (file, then row number). The lists of an ID with more than
-    ``limit`` rows come in several parts, one line each, so that no task gathers them all.
+
+def listed_rows(files: DataFrame, meta: DataFrame, ids: DataFrame, row: str, cell: str) -> DataFrame:
+    """One line per file and metadata row of the given IDs, at its place in input order.
+
+    ``first_of_cell`` marks the first line of each distinct cell. A list of any length has this
+    one shape; only rows of the given IDs are paired with files.
     """
-    order = [c for c in ("text_file", row) if c in rows.columns]
-    ids = materialize(ids)
-    placed = with_parts(rows.select(id_col, *order, cell), ids, id_col, size, spread_number(*order), limit)
-    lists = placed.groupBy(id_col, "part_no").agg(F.sort_array(F.collect_list(F.struct(*order, cell))).alias("_rows"))
-    return one_row_per_part(ids, size, limit).join(lists, [id_col, "part_no"]).withColumns(
-        {
-            "metadata_rows": F.array_join(F.col(f"_rows.{row}").cast("array<string>"), ","),
-            f"{cell}_values": F.array_join(F.array_distinct(f"_rows.{cell}"), " | "),
-        }
+    rows = explode_ids(meta.select(row, cell), cell).join(ids.select("file_id"), "file_id", "left_semi")
+    paired = valid_files(files).select("text_file", "file_id").join(rows, "file_id")
+    placed = dense_positions(paired, ["file_id"], ["text_file", row, cell])
+    firsts = placed.groupBy("file_id", cell).agg(F.min("position").alias("_first_at"))
+    return placed.join(firsts, ["file_id", cell]).select(
+        "file_id", "position", row, cell, (F.col("position") == F.col("_first_at")).alias("first_of_cell")
     )
 
 
 def duplicate_summary(
-    rows: DataFrame,
+    files: DataFrame,
+    meta: DataFrame,
     labels: Sequence[str],
-    id_col: str = "file_id",
     row: str = "metadata_row",
     cell: str = "matched_ids",
     strip_values: bool = False,
-    list_limit: int = LIST_LIMIT,
 ) -> DataFrame:
-    """IDs with several rows: counts, row numbers, cell values, labels of the first metadata row.
-
-    ``rows`` is a stored match table: read from files, its rows are counted before they
-    are shuffled. One line per ID, or per part of its lists beyond ``list_limit`` rows.
-    """
-    rows = clean_labels(rows, labels, strip_values)
-    tuples = rows.groupBy(id_col, *labels).agg(F.count("*").alias("n"), F.min(row).alias("_row"))
-    ids = (
-        tuples.groupBy(id_col)
-        .agg(
-            F.sum("n").alias("row_count"),
-            F.count("*").alias("unique_prediction_count"),
-            F.min_by(F.struct(*labels), "_row").alias("_first"),
-        )
-        .where("row_count > 1")
-    )
-    return _with_lists(rows, ids, id_col, row, cell, "row_count", list_limit).select(
-        id_col,
-        "part_no",
+    """Every row of the IDs with several: its place, the counts, labels of the first metadata row."""
+    ids = id_summary(files, meta, labels, row, cell, strip_values).where("row_count > 1")
+    return listed_rows(files, meta, ids, row, cell).join(ids, "file_id").select(
+        "file_id",
+        "position",
+        row,
+        cell,
+        "first_of_cell",
         "row_count",
-        "unique_prediction_count",
-        (F.col("unique_prediction_count") == 1).alias("predictions_same"),
-        "metadata_rows",
-        f"{cell}_values",
-        "_first.*",
+        F.col("n_variants").alias("unique_prediction_count"),
+        (F.col("n_variants") == 1).alias("predictions_same"),
+        *[f"_kept.{c}" for c in labels],
     )
 
 
 def usable_labels(
-    rows: DataFrame,
+    files: DataFrame,
+    meta: DataFrame,
     labels: Sequence[str],
-    id_col: str = "file_id",
     row: str = "metadata_row",
     cell: str = "matched_ids",
     strip_values: bool = False,
-    list_limit: int = LIST_LIMIT,
 ) -> DataFrame:
-    """IDs whose rows agree: first row, how it was matched, all row numbers and cells.
-
-    ``rows`` is a stored match table: read from files, its rows are counted before they
-    are shuffled. One line per ID, or per part of its lists beyond ``list_limit`` rows.
-    """
-    rows = clean_labels(rows, labels, strip_values)
-    tuples = rows.groupBy(id_col, *labels).agg(
-        F.count("*").alias("n"),
-        F.min(F.struct("text_file", row, cell)).alias("_first"),
-    )
-    status = F.when(F.col("source_row_count") == 1, "single_match").otherwise("duplicate_same_labels")
-    agreed = (
-        tuples.groupBy(id_col)
-        .agg(
-            F.sum("n").alias("source_row_count"),
-            F.count("*").alias("_variants"),
-            F.min(F.struct("_first", *labels)).alias("_kept"),
-        )
-        .where("_variants = 1")
-    )
-    return _with_lists(rows, agreed, id_col, row, cell, "source_row_count", list_limit).select(
-        "_kept._first.text_file",
-        id_col,
-        "part_no",
+    """Every row of the IDs whose rows agree: its place, first file, how it was matched, the labels."""
+    ids = id_summary(files, meta, labels, row, cell, strip_values).where("n_variants = 1")
+    status = F.when(F.col("row_count") == 1, "single_match").otherwise("duplicate_same_labels")
+    return listed_rows(files, meta, ids, row, cell).join(ids, "file_id").select(
+        "text_file",
+        "file_id",
+        "position",
+        row,
+        cell,
+        "first_of_cell",
         status.alias("source_match_status"),
-        "source_row_count",
-        "metadata_rows",
-        f"_kept._first.{cell}",
-        f"{cell}_values",
+        F.col("row_count").alias("source_row_count"),
         *[f"_kept.{c}" for c in labels],
     )
 
 
 def usable_statistics(
-    rows: DataFrame, labels: Sequence[str], id_col: str = "file_id", strip_values: bool = False
+    files: DataFrame,
+    meta: DataFrame,
+    labels: Sequence[str],
+    row: str = "metadata_row",
+    cell: str = "matched_ids",
+    strip_values: bool = False,
 ) -> DataFrame:
-    """One row: input rows, IDs, and IDs by single match, agreement and conflict.
-
-    ``rows`` is a stored match table.
-    """
-    rows = clean_labels(rows.select(id_col, *labels), labels, strip_values)
-    tuples = rows.groupBy(id_col, *labels).agg(F.count("*").alias("n"))
-    ids = tuples.groupBy(id_col).agg(F.sum("n").alias("n"), F.count("*").alias("k"))
+    """One row: matched rows, IDs, and IDs by single match, agreement and conflict."""
+    ids = id_summary(files, meta, labels, row, cell, strip_values).select(F.col("row_count").alias("n"), F.col("n_variants").alias("k"))
     return ids.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("input_rows"),
         F.count("*").alias("matched_ids"),
@@ -230,25 +207,21 @@ def usable_statistics(
 
 
 def label_mismatches(
-    rows: DataFrame,
+    files: DataFrame,
+    meta: DataFrame,
     labels: Sequence[str],
-    id_col: str = "file_id",
     row: str = "metadata_row",
+    cell: str = "matched_ids",
     strip_values: bool = False,
 ) -> DataFrame:
-    """All rows of IDs in conflict, with the number of their label tuple by first appearance."""
-    rows = clean_labels(rows, labels, strip_values)
-    per_id = Window.partitionBy(id_col)
-    variants = (
-        rows.groupBy(id_col, *labels)
-        .agg(F.min(row).alias("_first_row"))
-        .withColumns(
-            {
-                "_variants": F.count("*").over(per_id),
-                "prediction_variant_index": F.row_number().over(per_id.orderBy("_first_row")),
-            }
-        )
-        .where("_variants > 1")
-        .drop("_first_row", "_variants")
+    """All rows of IDs in conflict, with the number of their label tuple by first appearance.
+
+    Only metadata rows of such IDs are paired with files.
+    """
+    rows = explode_ids(clean_labels(meta, labels, strip_values), cell)
+    tuples = rows.groupBy("file_id", *labels).agg(F.min(row).alias("_first_row"))
+    several = tuples.groupBy("file_id").agg(F.count("*").alias("_variants")).where("_variants > 1").select("file_id")
+    variants = dense_positions(tuples.join(several, "file_id", "left_semi"), ["file_id"], ["_first_row", *labels]).select(
+        "file_id", *labels, (F.col("position") + 1).cast("int").alias("prediction_variant_index")
     )
-    return rows.join(variants, [id_col, *labels])
+    return valid_files(files).join(rows.join(variants, ["file_id", *labels]), "file_id")

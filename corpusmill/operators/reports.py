@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.numbers import percent, prevalence, python_round
-from corpusmill.operators.metrics import classification_metrics, decide, rank_metrics, with_prior
+from corpusmill.operators.metrics import classification_metrics, decide, rank_metrics, reaches, with_prior
 
 # Column order of the flat metric rows and the metrics of a result table.
 METRIC_COLUMNS = (
@@ -138,8 +138,7 @@ def decision_arms(
 
 
 def decide_column(mode: str, threshold: float | str | None) -> F.Column:
-    """Prediction of one arm from ``pred_greedy`` or ``p_yes``."""
+    """Prediction of one arm from ``pred_greedy`` or ``p_yes``; fails on a missing score or threshold."""
     if mode == "greedy":
         return F.col("pred_greedy").cast("int")
-    limit = F.col(threshold) if isinstance(threshold, str) else F.lit(float(threshold))
-    return (F.col("p_yes") >= limit).cast("int")
+    return reaches("p_yes", 0.5 if threshold is None else threshold)

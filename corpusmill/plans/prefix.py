@@ -41,6 +41,13 @@ def running_totals(
     )
 
 
+def dense_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "position") -> DataFrame:
+    """Add the place of each row in its group, from 0 without gaps; equal rows are in any order."""
+    ones = df.withColumn("_one", F.lit(1).cast("bigint"))
+    ranked = running_totals(ones, keys, [F.col(c) for c in order], ["_one"])
+    return ranked.select(*df.columns, F.col("_one_before").cast("bigint").alias(name))
+
+
 def value_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Count, exact median, smallest and largest ``value`` per group.
 

@@ -47,17 +47,16 @@ def test_last_label_wins_and_exclusion_counts(spark):
     assert rows_of(merging.exclude_ids(last, out), "file_id") == [("f",), ("g",)]
 
 
-def test_manifest_parts_hold_all_ids(spark):
-    rows = spark.range(1000).select(
+def test_manifest_has_one_shape_at_any_size(spark):
+    rows = spark.range(250_000).select(
         F.lit("g").alias("merged_task"), F.col("id").cast("string").alias("file_id"),
-        F.when(F.col("id") % 5 == 0, "test").otherwise("train").alias("split"),
+        F.when(F.col("id") % 50 == 0, "test").otherwise("train").alias("split"),
     )
-    whole = merging.split_manifest(rows).collect()
-    assert sorted((r.split, r.part_no, len(r.file_ids)) for r in whole) == [("test", 0, 200), ("train", 0, 800)]
-    parts = merging.split_manifest(rows, list_limit=100).collect()
-    assert len(parts) == 10
-    assert sorted(i for r in parts for i in r.file_ids) == sorted(str(i) for i in range(1000))
-    assert all(r.file_ids == sorted(r.file_ids) for r in parts)
+    manifest = merging.split_manifest(rows)
+    got = manifest.groupBy("split", "n_ids").agg(F.count("*"), F.max("position"), F.count_distinct("position", "file_id"))
+    assert rows_of(got, *got.columns) == [("test", 5_000, 5_000, 4_999, 5_000), ("train", 245_000, 245_000, 244_999, 245_000)]
+    ids = [r.file_id for r in manifest.where("split = 'test'").orderBy("position").collect()]
+    assert ids == sorted(str(i) for i in range(0, 250_000, 50))
 
 
 def test_binary_rows_and_instructions(spark):
@@ -156,11 +155,18 @@ def test_pairs_are_measured_once(spark):
 def test_chat_layout(spark):
     turns = [("c", 0, "system", "S"), ("c", 1, "user", "U"), ("c", 2, "assistant", "A"), ("c", 3, "user", "V"), ("d", 5, "user", "W")]
     df = spark.createDataFrame(turns, "conv_id string, turn int, role string, text string")
-    whole = rows_of(chat.render_chat(df, "</s>", True), "conv_id", "prompt")
-    assert whole == [("c", "<User>: S\n\nU <Assistant>: A</s>V <Assistant>:"), ("d", "<User>: W <Assistant>:")]
-    parts = chat.render_chat(df, "</s>", True, turns_per_part=2).orderBy("conv_id", "part_no").collect()
-    assert [r.part_no for r in parts] == [0, 1, 2]
-    assert "".join(r.prompt for r in parts if r.conv_id == "c") == whole[0][1]
+    def prompts(df):
+        found = chat.render_chat(df, "</s>", True).orderBy("conv_id", "position").collect()
+        texts = {}
+        for r in found:
+            assert r.position == len(texts.setdefault(r.conv_id, []))
+            texts[r.conv_id].append(r.prompt)
+        assert all(r.n_turns == len(texts[r.conv_id]) for r in found)
+        return {k: "".join(v) for k, v in texts.items()}
+
+    assert prompts(df) == {"c": "<User>: S\n\nU <Assistant>: A</s>V <Assistant>:", "d": "<User>: W <Assistant>:"}
+    sparse = [("t", 1_700_000_000, "user", "U"), ("t", 1_700_090_000, "assistant", None), ("t", 1_900_000_000, "user", None)]
+    assert prompts(spark.createDataFrame(sparse, df.schema)) == {"t": "<User>: U <Assistant>: </s> <Assistant>:"}
     one = spark.createDataFrame([("Q", "T")], "q string, t string")
     prompt = one.select(chat.render_messages(chat.to_messages("q", "t", "S"), "</s>")).first()[0]
     assert prompt == "<User>: S\n\nQ\n\nT"
@@ -201,3 +207,18 @@ def test_baseline_learns_a_word(spark):
     model = models.fit_baseline(rows, 1 << 10)
     scored = models.baseline_scores(model, rows).collect()
     assert all((r.p_yes > 0.5) == (r.label == 1.0) for r in scored)
+
+
+def test_swap_needs_every_counterpart(spark):
+    rows = spark.createDataFrame([("1", "a"), ("2", "b")], "file_id string, text string")
+    other = spark.createDataFrame([("1", "old", 1), ("1", "new", 2)], "file_id string, out string, seq int")
+    with pytest.raises(Exception, match="no counterpart text for 2"):
+        pairs.swap_text(rows, other).collect()
+    assert rows_of(pairs.swap_text(rows.where("file_id = '1'"), other, order="seq"), "file_id", "text") == [("1", "new")]
+
+
+def test_redone_twice_counts_once(spark):
+    kind = "file_id string, seq int, out string"
+    stored = spark.createDataFrame([("1", 1, "a"), ("1", 5, "b"), ("2", 2, "c")], kind)
+    redone = spark.createDataFrame([("1", 7, "x"), ("1", 8, "y"), ("3", 9, "z")], kind)
+    assert rows_of(pairs.upsert_pairs(stored, redone), "file_id", "seq", "out") == [("1", 1, "y"), ("2", 2, "c"), ("3", 9, "z")]

@@ -6,7 +6,6 @@ from corpusmill.plans.split import stratified_split
 
 PREDICTIONS = "run string, task string, y_true int, p_yes double"
 META = "metadata_row bigint, matched_ids string, a string"
-MATCHES = "text_file string, file_id string, metadata_row bigint, matched_ids string, a string"
 
 
 def test_no_predictions(spark):
@@ -32,8 +31,8 @@ def test_no_files_or_metadata(spark):
     row = matching.match_summary(files, meta).first()
     assert set(row.asDict().values()) == {0}
     assert reconcile.usable_matches(files, meta, ["a"]).count() == 0
-    assert reconcile.usable_statistics(spark.createDataFrame([], MATCHES), ["a"]).first().input_rows == 0
-    assert reconcile.duplicate_summary(spark.createDataFrame([], MATCHES), ["a"]).count() == 0
+    assert reconcile.usable_statistics(files, meta, ["a"]).first().input_rows == 0
+    assert reconcile.duplicate_summary(files, meta, ["a"]).count() == 0
 
 
 def test_no_pairs(spark):

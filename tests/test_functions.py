@@ -229,3 +229,15 @@ def test_label_range():
     for bad in ("D:B", "A:B:C", "F"):
         with pytest.raises(ValueError):
             label_range(columns, bad)
+
+
+@pytest.mark.parametrize("digits", [0, 1, 2, 3, 4])
+def test_python_round_for_any_size_and_sign(spark, digits):
+    draw = random.Random(digits)
+    ties = [k / 2**n for n in range(1, 7) for k in range(1, 200, 2)]
+    large = [2.0**p + k / 2 ** max(1, 44 - p) for p in range(20, 52) for k in range(1, 40, 3)]
+    values = [*ties, *large, *[draw.uniform(-1e6, 1e6) for _ in range(500)], *[draw.random() * 10**-e for e in range(20)]]
+    values = [*values, *[-v for v in values], 0.0, 1e300, -2.0**60, 0.12345, 2.675, 1048576.00005]
+    rows = spark.createDataFrame([(v,) for v in values], "x double")
+    wrong = [(r.x, r.y) for r in rows.select("x", python_round("x", digits).alias("y")).collect() if r.y != round(r.x, digits)]
+    assert not wrong

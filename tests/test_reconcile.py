@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.operators import matching, profiles, reconcile
-from corpusmill.plans import parts as parts_plan
 from corpusmill.operators.guards import require_columns, require_empty, require_rows
 
 LABELS = ["a", "b"]
@@ -93,44 +92,50 @@ def test_conflicts_name_the_file_once(files, meta):
 
 
 def test_duplicate_summary_in_input_order(files, meta):
-    matches = matching.match_files(files, meta)
-    got = rows_of(
-        reconcile.duplicate_summary(matches, LABELS),
-        "file_id", "row_count", "unique_prediction_count", "predictions_same", "metadata_rows", "matched_ids_values", "a",
-    )
-    assert got == [
-        ("2", 4, 2, False, "3,4,3,4", "2.0, 3 | 2", " TRUE"),
-        ("3", 3, 2, False, "3,5,7", "2.0, 3 | 3", " TRUE"),
-        ("7", 2, 1, True, "6,6", "7,7", "TRUE"),
-        ("8", 2, 2, False, "9,10", "8", "true"),
-    ]
+    found = reconcile.duplicate_summary(files, meta, LABELS).orderBy("file_id", "position").collect()
+    got = {}
+    for r in found:
+        counts = (r.row_count, r.unique_prediction_count, r.predictions_same, r.a)
+        rows, cells, kept = got.setdefault(r.file_id, ([], [], counts))
+        assert r.position == len(rows) and kept == counts
+        rows.append(r.metadata_row)
+        cells += [r.matched_ids] if r.first_of_cell else []
+    assert got == {
+        "2": ([3, 4, 3, 4], ["2.0, 3", "2"], (4, 2, False, " TRUE")),
+        "3": ([3, 5, 7], ["2.0, 3", "3"], (3, 2, False, " TRUE")),
+        "7": ([6, 6], ["7,7"], (2, 1, True, "TRUE")),
+        "8": ([9, 10], ["8"], (2, 2, False, "true")),
+    }
 
 
-@pytest.mark.parametrize("lookup", [100_000, 0])
-def test_lists_of_hot_ids_come_in_parts(spark, monkeypatch, lookup):
-    monkeypatch.setattr(parts_plan, "MANY_LARGE_GROUPS", lookup)
-    rows = spark.createDataFrame(
-        [("f.txt", "1" if i % 3 else "2", i, f"c{i % 50}", "TRUE", "x") for i in range(900)],
-        "text_file string, file_id string, metadata_row bigint, matched_ids string, a string, b string",
+def test_lists_have_one_shape_at_any_size(spark):
+    """One ID with 250,000 rows beside small ones."""
+    meta = spark.range(250_300).select(
+        F.col("id").alias("metadata_row"),
+        F.when(F.col("id") < 250_000, "1").otherwise(F.concat(F.lit("1"), (F.col("id") % 100).cast("string"))).alias("matched_ids"),
+        F.lit("TRUE").alias("a"),
+        F.lit("x").alias("b"),
+    )
+    names = spark.createDataFrame([("f_1.txt",), ("f_17.txt",)], "text_file string")
+    rows = reconcile.usable_labels(matching.with_file_id(names, ""), meta, LABELS)
+    assert "part_no" not in rows.columns
+    got = rows.groupBy("file_id", "source_row_count").agg(
+        F.count("*"), F.min("position"), F.max("position"), F.count_distinct("position"), F.count_if("first_of_cell"),
+        F.count_if(F.col("metadata_row") == F.col("position")),
     )
-    parts = reconcile.usable_labels(rows, LABELS, list_limit=100).collect()
-    for id_, total in (("1", 600), ("2", 300)):
-        mine = [r for r in parts if r.file_id == id_]
-        assert sorted(r.part_no for r in mine) == list(range(total // 100))
-        numbers = [int(n) for r in mine for n in r.metadata_rows.split(",")]
-        assert sorted(numbers) == [i for i in range(900) if ("1" if i % 3 else "2") == id_]
-        assert {c for r in mine for c in r.matched_ids_values.split(" | ")} == {f"c{n % 50}" for n in numbers}
-        assert {r.source_row_count for r in mine} == {total}
+    assert rows_of(got, *got.columns) == [
+        ("1", 250_000, 250_000, 0, 249_999, 250_000, 1, 250_000),
+        ("17", 3, 3, 0, 2, 3, 1, 0),
+    ]
 
 
 def test_variants_are_numbered_by_first_appearance(files, meta):
-    matches = matching.match_files(files, meta).where("file_id = '3'")
-    got = rows_of(reconcile.label_mismatches(matches, LABELS, strip_values=True), "metadata_row", "prediction_variant_index")
-    assert got == [(3, 1), (5, 2), (7, 2)]
+    found = reconcile.label_mismatches(files, meta, LABELS, strip_values=True).where("file_id = '3'")
+    assert rows_of(found, "metadata_row", "prediction_variant_index") == [(3, 1), (5, 2), (7, 2)]
 
 
 def test_statistics_add_up(files, meta):
-    row = reconcile.usable_statistics(matching.match_files(files, meta), LABELS).first()
+    row = reconcile.usable_statistics(files, meta, LABELS).first()
     assert row.matched_ids == row.single_match_ids + row.duplicate_same_label_ids + row.duplicate_conflict_ids
     assert row.usable_ids == row.single_match_ids + row.duplicate_same_label_ids
     assert row.input_rows == 12
