@@ -8,9 +8,9 @@ from corpusmill.catalog import views as v
 from corpusmill.catalog.datasets import document_splits, split_sql, train_labels
 from corpusmill.catalog.views import with_views
 from corpusmill.functions.numbers import pair_softmax, python_round
-from corpusmill.operators import guards, metrics, models, reports
+from corpusmill.functions.text import SPACE_CLASS
+from corpusmill.operators import datasets, guards, metrics, models, reports
 from corpusmill.plans.materialize import materialize
-from corpusmill.plans.spread import spread
 
 THRESHOLDS = [("0.5", 0.5), ("prior", "prior"), *metrics.sweep_thresholds()]
 ARMS = {"greedy": ("greedy", None), "half": ("prob", 0.5), "prior": ("prob", "prior")}
@@ -122,19 +122,16 @@ def retried(spark, d):
 
 
 def baseline(spark, d):
-    """Fit on the train split of each label, evaluate on its test split."""
+    """Naive Bayes with balanced class weights, fitted on the train split of all labels at once."""
+    splits = materialize(document_splits(spark, d))
     docs = v.documents(spark, d).select(F.col("doc_id").alias("file_id"), "text")
-    rows = spread(materialize(document_splits(spark, d).join(docs, "file_id")), "file_id")
-    scored = None
-    for task in ("quality", "toxic"):
-        of_task = rows.where(F.col("task") == task)
-        model = models.fit_baseline(of_task.where("split = 'train'").select("text", F.col("label").cast("double").alias("label")), 1 << 14)
-        part = models.baseline_scores(model, of_task.where("split = 'test'"))
-        scored = part if scored is None else scored.unionByName(part)
-    preds = materialize(
-        scored.select(F.lit("linear").alias("run"), "task", "file_id", F.col("label").alias("y_true"), "p_yes")
+    counts = materialize(models.word_counts(docs.join(splits.select("file_id").distinct(), "file_id", "left_semi")))
+    weights = datasets.class_weights(splits.where("split = 'train'"))
+    scored = models.word_baseline(counts, splits, weights)
+    preds = scored.select(
+        F.lit("words").alias("run"), "task", "file_id", F.col("label").alias("y_true"), F.round("p_yes", 6).alias("p_yes")
     )
-    return reports.metrics_rows(metrics.decide(preds, "prob", 0.5))
+    return reports.metrics_rows(metrics.decide(materialize(preds), "prob", 0.5))
 
 
 QUERIES = {
@@ -297,6 +294,32 @@ ORACLES = {
         "answered",
         counts=_counts("run, task", "answered", "coalesce(parsed, 0)"),
     ),
+    "baseline_classifier": with_views(
+        _SUMMARY.replace(", n_unparsed", ""),
+        "long_labels",
+        splits=_SPLITS,
+        tf=f"""SELECT file_id, word, count(*) AS n FROM (SELECT doc_id AS file_id,
+            unnest(list_filter(regexp_split_to_array(lower(text), '[{SPACE_CLASS}]+'), lambda w: w <> '')) AS word
+            FROM documents WHERE doc_id IN (SELECT file_id FROM splits)) GROUP BY ALL""",
+        weights="""SELECT task, (greatest(q, 1) + greatest(p, 1)) / (2.0::DOUBLE * greatest(q, 1)) AS w0,
+            (greatest(q, 1) + greatest(p, 1)) / (2.0::DOUBLE * greatest(p, 1)) AS w1
+            FROM (SELECT task, count(*) FILTER (label = 0) AS q, count(*) FILTER (label = 1) AS p
+                FROM splits WHERE split = 'train' GROUP BY task)""",
+        seen="""SELECT task, word, coalesce(sum(n) FILTER (label = 0), 0)::DOUBLE AS n0, coalesce(sum(n) FILTER (label = 1), 0)::DOUBLE AS n1
+            FROM splits JOIN tf USING (file_id) WHERE split = 'train' GROUP BY ALL""",
+        odds="""SELECT task, word, ln((n1 * w1 + 1) / (t1 * w1 + k)) - ln((n0 * w0 + 1) / (t0 * w0 + k)) AS log_odds
+            FROM seen JOIN (SELECT task, sum(n0) AS t0, sum(n1) AS t1, count(*)::DOUBLE AS k FROM seen GROUP BY task) USING (task)
+            JOIN weights USING (task)""",
+        preds="""SELECT 'words' AS run, task, file_id, label AS y_true,
+            round(1.0::DOUBLE / (1.0::DOUBLE + exp(-coalesce(m, 0.0::DOUBLE))), 6) AS p_yes
+            FROM (SELECT * FROM splits WHERE split = 'test') LEFT JOIN (SELECT task, file_id, sum(n * log_odds) / sum(n)::DOUBLE AS m
+                FROM splits JOIN tf USING (file_id) JOIN odds USING (task, word) WHERE split = 'test' GROUP BY ALL) USING (task, file_id)""",
+        counts=_counts("run, task", "preds", "CAST(p_yes >= 0.5 AS INTEGER)"),
+        measured=_MEASURED,
+        alls=_ALL,
+        ranked=_RANKED,
+        ranks=_RANKS,
+    ),
     "batch_score": "SELECT doc_id, round((length(text) * 31 % 1009) / 1009.0::DOUBLE, 9) AS p_yes FROM documents",
     "retry_rounds": """SELECT file_id, attempt, CAST(kept AS INTEGER) AS out_length,
             CASE WHEN kept = 0 THEN 'empty' WHEN kept / greatest(n, 1)::DOUBLE < 0.55 THEN 'too_short' ELSE '' END AS flags

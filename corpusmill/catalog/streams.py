@@ -11,11 +11,16 @@ from corpusmill.plans.materialize import scratch_path
 from corpusmill.streaming import match, pairs
 
 
-def _stream(spark, d, name):
+# Files per micro-batch; each batch scans the static side of its join once.
+FILES_PER_TRIGGER = 64
+
+
+def _stream(spark, d, name, files_per_trigger=FILES_PER_TRIGGER):
     """The files of a table as a stream; a table of one file is read through its folder."""
-    table = v.table(spark, d, name)
-    reader = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 64)
-    if table.inputFiles()[0].endswith(f"/{name}.parquet"):
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")
+    one_file = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isFile()
+    reader = spark.readStream.schema(v.table(spark, d, name).schema).option("maxFilesPerTrigger", files_per_trigger)
+    if one_file:
         return reader.option("pathGlobFilter", f"{name}.parquet").parquet(d)
     return reader.parquet(f"{d}/{name}.parquet")
 
@@ -39,8 +44,7 @@ def stream_unmatched(spark, d):
 def stream_pair_quality(spark, d):
     cores = spark.sparkContext.defaultParallelism
     docs = _stream(spark, d, "documents").select("doc_id", F.col("text").alias("src")).repartition(cores, "doc_id")
-    after = v.table(spark, d, "documents").select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("out"))
-    landed = docs.join(after, "doc_id").select(
+    landed = docs.join(v.successors(spark, d), "doc_id").select(
         F.col("doc_id").alias("file_id"), F.col("doc_id").alias("seq"), "src", "out"
     )
     out = scratch_path(spark, "stream_pairs")

@@ -111,12 +111,18 @@ def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def translations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document with its successor; the first one follows the last."""
+def successors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of the next document for each document; the first one follows the last."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     ring = table(spark, sf_dir, "documents").agg(F.max("doc_id") + 1).first()[0] or 1
-    after = docs.select(F.pmod(F.col("doc_id") - 1, F.lit(ring)).alias("doc_id"), F.col("text").alias("out"))
-    return docs.join(after, "doc_id").select(F.col("doc_id").alias("file_id"), F.col("text").alias("src"), "out")
+    return docs.select(F.pmod(F.col("doc_id") - 1, F.lit(ring)).alias("doc_id"), F.col("text").alias("out"))
+
+
+def translations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with its successor as its counterpart."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    joined = docs.join(successors(spark, sf_dir), "doc_id")
+    return joined.select(F.col("doc_id").alias("file_id"), F.col("text").alias("src"), "out")
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

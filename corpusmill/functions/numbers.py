@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import col
+from corpusmill.functions.text import col, let
 
 _HALF_SCALE = float(2**40)
 
@@ -20,28 +20,39 @@ def python_round(c: Column | str, digits: int) -> Column:
     """
     if not 0 <= digits <= 4:
         raise ValueError("digits must be between 0 and 4")
-    x = col(c).cast("double")
-    size = F.abs(x)
-    whole = F.floor(F.when(size < float(2**52), size))
-    fraction = size - whole.cast("double")
-    high = F.floor(fraction * _HALF_SCALE)
-    low = F.floor((fraction * _HALF_SCALE - high.cast("double")) * _HALF_SCALE)
     step = F.lit(str(2**40)).cast("decimal(13,0)")
     unit = F.lit(str(2**80)).cast("decimal(25,0)")
     scale = F.lit(str(10**digits)).cast("decimal(5,0)")
-    scaled = ((high.cast("decimal(13,0)") * step + low.cast("decimal(13,0)")).cast("decimal(25,0)") * scale).cast(
-        "decimal(30,0)"
-    )
-    rest = (scaled % unit).cast("decimal(25,0)")
-    part = F.floor((scaled - rest).cast("decimal(38,0)") / unit).cast("bigint")
-    twice = (rest * F.lit("2").cast("decimal(1,0)")).cast("decimal(27,0)")
-    odd = (part + whole if digits == 0 else part) % 2
-    up = F.when(twice > unit, 1).when(twice < unit, 0).otherwise(odd)
-    total = (whole.cast("decimal(16,0)") * scale).cast("decimal(21,0)") + (part + up).cast("decimal(6,0)")
     back = F.lit(f"{10**-digits:.{digits}f}").cast(f"decimal({digits + 1},{digits})")
-    exact = (total.cast("decimal(22,0)") * back).cast("double")
-    signed = F.when(x < 0, -exact).otherwise(exact)
-    return F.when(size < float(2**52), signed).otherwise(x)
+
+    def steps(fraction: Column) -> Column:
+        """Count of 2**-80 steps times 10**digits."""
+        high = F.floor(fraction * _HALF_SCALE)
+        low = F.floor((fraction * _HALF_SCALE - high.cast("double")) * _HALF_SCALE)
+        both = high.cast("decimal(13,0)") * step + low.cast("decimal(13,0)")
+        return (both.cast("decimal(25,0)") * scale).cast("decimal(30,0)")
+
+    def rounded(scaled: Column, whole: Column) -> Column:
+        def up(rest: Column) -> Column:
+            part = F.floor((scaled - rest).cast("decimal(38,0)") / unit).cast("bigint")
+            twice = (rest * F.lit("2").cast("decimal(1,0)")).cast("decimal(27,0)")
+            odd = (part + whole if digits == 0 else part) % 2
+            return part + F.when(twice > unit, 1).when(twice < unit, 0).otherwise(odd)
+
+        part = let((scaled % unit).cast("decimal(25,0)"), up)
+        total = (whole.cast("decimal(16,0)") * scale).cast("decimal(21,0)") + part.cast("decimal(6,0)")
+        return (total.cast("decimal(22,0)") * back).cast("double")
+
+    def signed(x: Column) -> Column:
+        size = F.abs(x)
+
+        def exact(whole: Column) -> Column:
+            return let(steps(size - whole.cast("double")), lambda scaled: rounded(scaled, whole))
+
+        value = let(F.floor(F.when(size < float(2**52), size)), exact)
+        return F.when(size < float(2**52), F.when(x < 0, -value).otherwise(value)).otherwise(x)
+
+    return let(col(c).cast("double"), signed)
 
 
 def fixed2(c: Column | str) -> Column:

@@ -9,12 +9,12 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
 from corpusmill.functions.quality import DEFAULT_RULES, QualityRules, hard_flags, quality_flags
-from corpusmill.functions.text import word_chunks
+from corpusmill.functions.text import word_chunks, words
 from corpusmill.plans.materialize import materialize
 
 Scorer = Callable[[list[str]], Sequence[float]]
@@ -127,3 +127,48 @@ def baseline_scores(model, rows: DataFrame) -> DataFrame:
     """Rows with P(positive) of a fitted baseline."""
     scored = model.transform(rows).withColumn("p_yes", vector_to_array("probability")[1])
     return scored.select(*rows.columns, "p_yes")
+
+
+def word_counts(docs: DataFrame, id_col: str = "file_id", text: str = "text") -> DataFrame:
+    """How often each word, in lower case, stands in each text."""
+    spread_words = docs.select(id_col, F.explode(words(F.lower(F.col(text)))).alias("word"))
+    return spread_words.groupBy(id_col, "word").agg(F.count("*").alias("n"))
+
+
+def word_baseline(
+    counts: DataFrame, splits: DataFrame, weights: DataFrame, id_col: str = "file_id", smoothing: float = 1.0
+) -> DataFrame:
+    """Test rows of every task with P(positive) of a class-weighted naive Bayes over words.
+
+    ``counts`` comes from ``word_counts``, ``splits`` has ``task``, ``label`` and ``split``, ``weights`` comes
+    from ``class_weights``. All tasks are fitted in one pass. The log-odds of a text are averaged
+    over the words that training has seen; a text without such words gets one half.
+    """
+    train = splits.where("split = 'train'").join(counts, id_col)
+
+    def seen(label: int) -> Column:
+        return F.sum(F.when(F.col("label") == label, F.col("n")).otherwise(0))
+
+    per_word = train.groupBy("task", "word").agg(seen(0).alias("n_neg"), seen(1).alias("n_pos"))
+    totals = per_word.groupBy("task").agg(
+        F.sum("n_neg").alias("t_neg"), F.sum("n_pos").alias("t_pos"), F.count("*").alias("_size")
+    )
+    # One row per task of a registry.
+    scale = F.broadcast(totals.join(weights.select("task", "weight_neg", "weight_pos"), "task"))
+
+    def likelihood(side: str) -> Column:
+        weight = F.col(f"weight_{side}")
+        return (F.col(f"n_{side}") * weight + smoothing) / (F.col(f"t_{side}") * weight + smoothing * F.col("_size"))
+
+    model = per_word.join(scale, "task").select(
+        "task", "word", (F.log(likelihood("pos")) - F.log(likelihood("neg"))).alias("log_odds")
+    )
+    test = splits.where("split = 'test'").select("task", id_col, "label")
+    sums = (
+        test.join(counts, id_col)
+        .join(model, ["task", "word"])
+        .groupBy("task", id_col)
+        .agg((F.sum(F.col("n") * F.col("log_odds")) / F.sum("n")).alias("_mean"))
+    )
+    score = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.coalesce("_mean", F.lit(0.0))))
+    return test.join(sums, ["task", id_col], "left").select("task", id_col, "label", score.alias("p_yes"))
