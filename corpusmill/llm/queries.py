@@ -91,4 +91,31 @@ ORACLES = {
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256
         FROM t JOIN g USING (text_sha256)
     """,
+    # CRC-32 by its table of 256 remainders, which the first clause derives from the polynomial.
+    "op10_rendezvous_shards": """
+        WITH crc_table AS (
+          SELECT list(c ORDER BY i) AS t FROM (
+            SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i) AS c
+            FROM range(256) r(i))
+        ),
+        texts AS (SELECT doc_id, encode(coalesce(text, '')) AS raw FROM documents),
+        hexed AS (SELECT doc_id, octet_length(raw) AS n, hex(raw) AS h FROM texts),
+        sized AS (
+          SELECT doc_id, n + 16 AS size, xor(list_reduce(
+              list_transform(range(n), lambda j: CAST(concat('0x', substr(h, 2 * j + 1, 2)) AS BIGINT)),
+              lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS text_crc32
+          FROM hexed, crc_table
+        ),
+        scores AS (
+          SELECT doc_id, s, -1 / ln((CAST(concat('0x', substr(md5(concat(CAST(doc_id AS VARCHAR), ':', CAST(s AS VARCHAR))), 1, 12)) AS BIGINT) + 0.5) / 281474976710656) AS score
+          FROM documents, range(41) r(s)
+        ),
+        placed AS (
+          SELECT doc_id, CAST(arg_max(s, score) FILTER (s < 40) AS INTEGER) AS shard, CAST(arg_max(s, score) AS INTEGER) AS grown_shard
+          FROM scores GROUP BY doc_id
+        )
+        SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+          row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, grown_shard
+        FROM sized JOIN placed USING (doc_id)
+    """,
 }
