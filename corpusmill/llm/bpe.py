@@ -63,8 +63,10 @@ NEWER_CAPITALS = {
 }
 # Also split at by str.split(), though not white space for the tokenizer; or such a capital.
 UNUSUAL = regex.compile(f"[\x1c-\x1f{''.join(map(chr, NEWER_CAPITALS))}]")
-CACHED_CHUNKS = 800_000
+# A worker keeps at most so many, about 200 bytes each.
+CACHED_CHUNKS = 200_000
 LONGEST_CACHED = 64
+ROWS_AT_A_TIME = 200
 
 
 def byte_letters() -> list[str]:
@@ -197,16 +199,19 @@ def _shared(docs: DataFrame, tokenizer: str) -> Broadcast[str]:
     return docs.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer))
 
 
-def _appended(df: DataFrame, column: str, of: str, kind: T.DataType, make) -> DataFrame:
-    """``df`` and a column that ``make(values)`` derives from one column, batch by batch."""
-    schema = T.StructType([*df.schema.fields, T.StructField(column, kind)])
-    arrow = {"array": pa.list_(pa.int32()), "string": pa.string()}[kind.typeName()]
+def _appended(df: DataFrame, of: str, columns: dict[str, T.DataType], make) -> DataFrame:
+    """``df`` and columns that ``make()(value)`` derives from one column, some rows at a time."""
+    schema = T.StructType([*df.schema.fields, *[T.StructField(c, kind) for c, kind in columns.items()]])
+    arrow = [{"array": pa.list_(pa.int32()), "string": pa.string()}[kind.typeName()] for kind in columns.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         derive = make()
         for batch in batches:
-            made = pa.array((derive(v) for v in batch.column(of)), type=arrow)
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, column])
+            for start in range(0, batch.num_rows, ROWS_AT_A_TIME):
+                part = batch.slice(start, ROWS_AT_A_TIME)
+                made = list(zip(*map(derive, part.column(of)))) or [()] * len(columns)
+                arrays = [pa.array(values, type=kind) for values, kind in zip(made, arrow)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *arrays], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
@@ -219,10 +224,10 @@ def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", ids_col: str
     shared = _shared(docs, tokenizer)
 
     def make():
-        encode_text = codec(shared.value).encode
-        return lambda text: encode_text(text.as_py() or "")
+        bpe = codec(shared.value)
+        return lambda text: (bpe.encode(text.as_py() or ""),)
 
-    return _appended(docs, ids_col, text_col, T.ArrayType(T.IntegerType()), make)
+    return _appended(docs, text_col, {ids_col: T.ArrayType(T.IntegerType())}, make)
 
 
 def decode(docs: DataFrame, tokenizer: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -230,10 +235,28 @@ def decode(docs: DataFrame, tokenizer: str, ids_col: str = "ids", text_col: str
     shared = _shared(docs, tokenizer)
 
     def make():
-        decode_ids = codec(shared.value).decode
-        return lambda ids: decode_ids(ids.values.to_pylist() if ids.is_valid else ())
+        bpe = codec(shared.value)
+        return lambda ids: (bpe.decode(ids.values.to_pylist() if ids.is_valid else ()),)
+
+    return _appended(docs, ids_col, {text_col: T.StringType()}, make)
+
+
+def encode_decode(
+    docs: DataFrame, tokenizer: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded"
+) -> DataFrame:
+    """What ``encode`` and then ``decode`` add, in one pass with one codec per worker."""
+    shared = _shared(docs, tokenizer)
+
+    def make():
+        bpe = codec(shared.value)
+
+        def both(text: pa.Scalar) -> tuple:
+            ids = bpe.encode(text.as_py() or "")
+            return ids, bpe.decode(ids)
+
+        return both
 
-    return _appended(docs, text_col, ids_col, T.StringType(), make)
+    return _appended(docs, text_col, {ids_col: T.ArrayType(T.IntegerType()), decoded_col: T.StringType()}, make)
 
 
 def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

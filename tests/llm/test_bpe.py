@@ -65,7 +65,10 @@ def test_operators(make_docs, library):
     for r in rows:
         ids = library.encode(r.text or "", add_special_tokens=False).ids
         assert r.ids == ids and r.decoded == library.decode(ids, skip_special_tokens=False)
-    assert bpe.encode(make_docs([]), PATH).collect() == []
+    one_pass = bpe.encode_decode(docs, PATH)
+    assert one_pass.columns == [*docs.columns, "ids", "decoded"]
+    assert sorted(map(str, one_pass.collect())) == sorted(map(str, rows))
+    assert bpe.encode(make_docs([]), PATH).collect() == [] == bpe.encode_decode(make_docs([]), PATH).collect()
 
 
 def test_query(spark, library):
