@@ -25,12 +25,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusmill.llm.common import key_remainder, learnable_labels, ship_package, stage, whole_text
+from corpusmill.llm.minhash import _odd_numbers, shingle_hashes
 
 TOKEN = re.compile(r"[^\W\d_]+")
-COUNTED_UNITS = 500_000
-CACHED_WORDS = 500_000
+COUNTED_UNITS = 100_000
+CACHED_WORDS = 150_000
+COPY_KEYS = 4
+ROWS_AT_A_TIME = 500
+# Up to so many entries a filter states them; more are broadcast.
+STATED_UNITS = 2_000
 END = "$"
 
 
@@ -177,21 +183,21 @@ def fit_lexicon(words: DataFrame, n_toxic: int, n_clean: int, s: ToxicitySetting
     n = n_toxic + n_clean
     weight = max(2.0, s.prior_share * n)
     lexicon: dict[str, float] = {}
-    rest = words
+    rest = words.select(F.concat("word", F.lit(END)).alias("unit"), "toxic", "clean")
     for level in (0, *s.prefixes):
-        unit = F.concat("word", F.lit(END)) if level == 0 else F.substring("word", 1, level)
-        # Prefixes count every word at least as long.
-        counted = rest.where(F.length("word") >= level).select(unit.alias("unit"), "toxic", "clean")
-        sums = counted.groupBy("unit").agg(
-            F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")
-        )
+        # Each level groups what the one before left, so the rows become fewer.
+        if level:
+            bare = F.rtrim(F.col("unit"), F.lit(END))
+            rest = rest.groupBy(F.substring(bare, 1, level).alias("unit")).agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+        sums = stage(rest, "units").df
         a, c = F.col("toxic"), F.col("clean")
         prior = F.lit(weight / max(n, 1)) * (a + c)
         odds = _log_odds(a + prior, n_toxic + weight) - _log_odds(c + prior, n_clean + weight)
         error = F.sqrt(1 / (a + prior) + 1 / (c + prior))
         deviance = _deviance(a, c, n_toxic, n_clean)
         judged = (
-            sums.select("unit", odds.alias("odds"), error.alias("error"), deviance.alias("deviance"))
+            sums.where(F.length("unit") >= level)
+            .select("unit", odds.alias("odds"), error.alias("error"), deviance.alias("deviance"))
             .where(F.col("deviance") >= s.least_deviance)
             .orderBy(F.desc("deviance"), "unit")
             .limit(max(0, s.max_units - len(lexicon)))
@@ -200,9 +206,11 @@ def fit_lexicon(words: DataFrame, n_toxic: int, n_clean: int, s: ToxicitySetting
         # The doubtful part of the log-odds does not count.
         found = {r.unit: math.copysign(max(0.0, abs(r.odds) - r.error), r.odds) for r in judged}
         lexicon |= found
-        if found:
+        if len(found) > STATED_UNITS:
             mine = F.broadcast(spark.createDataFrame([(u,) for u in found], "unit string"))
-            rest = rest.withColumn("unit", unit).join(mine, "unit", "left_anti").drop("unit")
+            rest = sums.join(mine, "unit", "left_anti")
+        else:
+            rest = sums.where(~F.col("unit").isin(list(found))) if found else sums
     return lexicon
 
 
@@ -246,6 +254,33 @@ def fit_logistic(x: np.ndarray, positive: np.ndarray, negative: np.ndarray, ridg
     return max(0.0, float(slope)), float(offset)
 
 
+def _without_copies(sample: DataFrame) -> DataFrame:
+    """The sampled texts without exact and most near copies, which would pass for independent evidence.
+
+    Of texts with the same label that share one of a few MinHash values of word triples, the
+    one with the least digest stays.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        factors = _odd_numbers(COPY_KEYS, 31)
+        for batch in batches:
+            keys = []
+            for text in batch.column("text"):
+                hashes = shingle_hashes(text.as_py().encode(), 3)
+                keys.append([(hashes * f).min().view(np.int64) for f in factors] if len(hashes) else [])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.list_(pa.int64()))], names=[*batch.schema.names, "_keys"])
+
+    once = sample.withColumn("_digest", F.unhex(F.sha2("text", 256))).dropDuplicates(["_digest", "_label"])
+    schema = T.StructType([*once.schema.fields, T.StructField("_keys", T.ArrayType(T.LongType()))])
+    keyed = stage(once.mapInArrow(run, schema), "labelled").df
+    held = keyed.select("_digest", "_label", F.explode("_keys").alias("_key"))
+    heads = held.groupBy("_key", "_label").agg(F.min("_digest").alias("_head"))
+    alone = held.join(heads, ["_key", "_label"]).groupBy("_digest", "_label").agg(F.min(F.col("_digest") == F.col("_head")).alias("_first"))
+    # At most max_labelled digests.
+    kept = F.broadcast(stage(alone.where("_first").select("_digest", "_label"), "labelled_kept").df)
+    return keyed.join(kept, ["_digest", "_label"], "left_semi").select("text", "_label", "_fold")
+
+
 def fit(docs: DataFrame, labels: DataFrame, held_out: Column, s: ToxicitySettings = ToxicitySettings(), id_col: str = "doc_id", text_col: str = "text", label: str = "toxic") -> ToxicityModel:
     """Learn from a bounded sample of labelled rows for which ``held_out`` is false.
 
@@ -259,9 +294,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, s: ToxicitySetting
     joined = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("text")).join(
         F.broadcast(sample), "_id"
     )
-    # Copies of one text would pass for independent evidence.
-    once = joined.select("text", "_label", fold.alias("_fold"), F.sha2("text", 256).alias("_digest"))
-    labelled = stage(once.dropDuplicates(["_digest", "_label"]), "labelled").df
+    labelled = _without_copies(joined.select("text", "_label", fold.alias("_fold")))
     train = labelled.where("not _fold")
     words = stage(_count_units(train).groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "words")
     sums = words.df.agg(F.sum("toxic"), F.sum("clean")).first()
@@ -382,7 +415,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, s: ToxicitySettings = Toxicit
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         scorer = TokenScores(m.lexicon, m.prefixes)
-        for batch in batches:
+        for batch in (b.slice(i, ROWS_AT_A_TIME) for b in batches for i in range(0, b.num_rows, ROWS_AT_A_TIME)):
             keep = []
             for value in batch.column("text"):
                 words = tokens(value.as_py() or "")
