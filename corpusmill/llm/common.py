@@ -80,6 +80,15 @@ def ship_package(spark: SparkSession) -> None:
         _shipped.add(app)
 
 
+# Rows of a few numbers each that a broadcast may hold; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, a stored table of narrow rows, to broadcast if it has at most ``max_rows``."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def unused_name(df: DataFrame, base: str) -> str:
     """``base``, lengthened until no column has the name."""
     while base.lower() in [c.lower() for c in df.columns]:

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import WHITE_CLASS, Stage, own_names, stage, whole_text
+from corpusmill.llm.common import WHITE_CLASS, Stage, broadcast_if_small, own_names, stage, whole_text
 from corpusmill.plans.materialize import scratch_path
 
 INDEX_SCHEMA = "digest binary, keep_id bigint, n_chars int"
@@ -117,7 +117,8 @@ def mark_duplicates(rows: DataFrame, index: DigestIndex) -> DataFrame:
 def drop_exact_duplicates(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns; one of rows repeated with ID and text."""
     marks = stage(mark_duplicates(digest_rows(docs, id_col, text_col).df, index), "marks").df
-    gone = marks.where("not kept").select("doc_id", F.unhex("text_sha256").alias("digest"))
+    # Where few rows go, the texts need no shuffle.
+    gone = broadcast_if_small(marks.where("not kept").select("doc_id", F.unhex("text_sha256").alias("digest")))
     here = docs[id_col].eqNullSafe(gone["doc_id"]) & (digest(docs[text_col]) == gone["digest"])
     left = docs.join(gone, here, "left_anti")
     repeated = marks.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id")

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import Stage, ship_package, stage, whole_text
+from corpusmill.llm.common import Stage, broadcast_if_small, ship_package, stage, whole_text
 from corpusmill.llm.components import components
 
 # Shingles of several documents are hashed together up to this number.
@@ -327,5 +327,5 @@ def drop_near_duplicates(
 ) -> DataFrame:
     """The documents that stay, with all their columns: the smallest ID of each component."""
     marks = near_duplicates(docs, settings, id_col, text_col)
-    gone = stage(marks.where("not kept").select("doc_id").distinct(), "near_gone").df
+    gone = broadcast_if_small(stage(marks.where("not kept").select("doc_id").distinct(), "near_gone").df)
     return docs.join(gone, docs[id_col] == gone["doc_id"], "left_anti")

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import WHITE_CLASS, bounded_sample, stage, unused_name, whole_text
+from corpusmill.llm.common import WHITE_CLASS, bounded_sample, broadcast_if_small, stage, unused_name, whole_text
 
 
 @dataclass(frozen=True)
@@ -197,8 +197,9 @@ def resample(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], s
     """
     key = F.col("doc_id")
     rates = mix(docs, labels, targets, s).groupBy("doc_id").agg(F.avg("rate").alias("rate"))
-    wanted = stage(rates.select("doc_id", copies(F.col("rate"), key).alias("copies")).where("copies > 0"), "copies").df
-    joined = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]))
+    # Only rows that go or come more than once are looked up; the others stay as they are.
+    changed = stage(rates.select("doc_id", copies(F.col("rate"), key).alias("copies")).where("copies <> 1"), "copies").df
+    joined = docs.join(broadcast_if_small(changed), docs["doc_id"].eqNullSafe(changed["doc_id"]), "left")
     number = unused_name(docs, "copy")
-    again = F.explode(F.sequence(F.lit(1), wanted["copies"])).alias(number)
+    again = F.explode(F.array_repeat(F.lit(1), F.coalesce(changed["copies"], F.lit(1)))).alias(number)
     return joined.select(*[docs[c] for c in docs.columns], again).drop(number)
