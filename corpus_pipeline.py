@@ -41,8 +41,7 @@ def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token IDs of each text, and the text they decode to."""
-    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), TOKENIZER)
-    return bpe.decode(encoded.drop("text"), TOKENIZER)
+    return bpe.encode_decode(docs.select("doc_id", "lang", "source", "text"), TOKENIZER).drop("text")
 
 
 STAGES: list[tuple[str, Stage]] = [
