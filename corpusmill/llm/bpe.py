@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import sys
 import unicodedata
 from array import array
@@ -45,6 +46,9 @@ NEWER = [
     (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
 ]
 NEWER_CLASS = regex.compile("[" + "".join(f"{chr(a)}-{chr(z)}" for a, z in NEWER) + "]")
+NEWER_START = chr(NEWER[0][0])
+# Below, letters are the same in all versions.
+LATIN_END = "\u0250"
 # The tokenizer's pattern for words.
 PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{UNICODE_WHITE}\p{{L}}\p{{N}}]+")
 CHUNKS = regex.compile(rf"[^{UNICODE_WHITE}]+")
@@ -61,11 +65,31 @@ NEWER_CAPITALS = {
     **{c: c + 0x20 for c in range(0x10D50, 0x10D66)},
     **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)},
 }
-# Also split at by str.split(), though not white space for the tokenizer; or such a capital.
-UNUSUAL = regex.compile(f"[\x1c-\x1f{''.join(map(chr, NEWER_CAPITALS))}]")
-# A worker keeps at most so many, about 200 bytes each.
-CACHED_CHUNKS = 200_000
+CAPITALS_START = chr(min(NEWER_CAPITALS))
+CAPITAL = re.compile(f"[{''.join(map(chr, NEWER_CAPITALS))}]")
+# Also split at by str.split(), though not white space for the tokenizer.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
+# Marks that Python's tables reorder or compose and the tokenizer's leave in place.
+NEWER_MARKS = [
+    (0x7FD, 0x7FD), (0x898, 0x89F), (0x8CA, 0x8D3), (0x9FE, 0x9FE), (0xC3C, 0xC3C), (0xD3B, 0xD3C), (0xEBA, 0xEBA),
+    (0x1715, 0x1715), (0x1ABF, 0x1ACE), (0x1DF6, 0x1DFA), (0xA82C, 0xA82C), (0x10D24, 0x10D27), (0x10EAB, 0x10EAC),
+    (0x10EFD, 0x10EFF), (0x10F46, 0x10F50), (0x10F82, 0x10F85), (0x11070, 0x11070), (0x1133B, 0x1133B),
+    (0x1145E, 0x1145E), (0x11839, 0x1183A), (0x11930, 0x11930), (0x1193D, 0x1193E), (0x11943, 0x11943),
+    (0x119E0, 0x119E0), (0x11A34, 0x11A34), (0x11A47, 0x11A47), (0x11A99, 0x11A99), (0x11D42, 0x11D42),
+    (0x11D44, 0x11D45), (0x11D97, 0x11D97), (0x11F41, 0x11F42), (0x16FF0, 0x16FF1), (0x1E08F, 0x1E08F),
+    (0x1E130, 0x1E136), (0x1E2AE, 0x1E2AE), (0x1E2EC, 0x1E2EF), (0x1E4EC, 0x1E4EF),
+]
+NEWER_MARK = regex.compile("([" + "".join(f"{chr(a)}-{chr(z)}" for a, z in NEWER_MARKS) + "])")
+NEWER_MARK_START = chr(NEWER_MARKS[0][0])
+# The Unicode version whose differences the tables above state.
+UNICODE = "15.1.0"
+# A worker keeps at most twice so many, about 400 bytes each.
+CACHED_CHUNKS = 250_000
 LONGEST_CACHED = 64
+# Low bits of a queue entry hold the place, the others the rank.
+PLACE_BITS = 40
+# What a chunk becomes: its IDs as native 32-bit integers, and their vocabulary strings joined by spaces.
+Coded = tuple[bytes, str]
 ROWS_AT_A_TIME = 200
 
 
@@ -78,16 +102,30 @@ def byte_letters() -> list[str]:
 
 def split_pieces(chunk: str) -> list[str]:
     """Words and marks of a stretch without white space."""
-    if NEWER_CLASS.search(chunk):
+    highest = max(chunk)
+    if highest < LATIN_END and chunk.isalpha():
+        return [chunk]
+    if highest >= NEWER_START and NEWER_CLASS.search(chunk):
         plain = NEWER_CLASS.sub("\uffff", chunk)
         return [chunk[m.start() : m.end()] for m in PIECES.finditer(plain)]
     return PIECES.findall(chunk)
 
 
+def compose(text: str) -> str:
+    """Canonical composition as the tokenizer's tables have it: newer marks stay where they are."""
+    if text.isascii():
+        return text
+    if max(text) >= NEWER_MARK_START and NEWER_MARK.search(text):
+        return "".join([unicodedata.normalize("NFC", part) for part in NEWER_MARK.split(text)])
+    return unicodedata.normalize("NFC", text)
+
+
 class WordBpe:
     """Encoder and decoder of one tokenizer file."""
 
     def __init__(self, file_text: str):
+        if unicodedata.unidata_version != UNICODE:
+            raise RuntimeError(f"the tables state what differs from Unicode {UNICODE}, not {unicodedata.unidata_version}")
         spec = json.loads(file_text)
         model = spec["model"]
         self.vocab: dict[str, int] = dict(model["vocab"])
@@ -95,86 +133,109 @@ class WordBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.names = [names.get(i, "") for i in range(max(names) + 1)]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        # Per left ID the rank of each right one that it merges with, and what each rank makes.
+        self.ranks: list[dict[int, int]] = [{} for _ in self.names]
+        self.made: list[int] = []
         for rank, merge in enumerate(model["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
-            self.merges[self.vocab[left], self.vocab[right]] = rank, self.vocab[left + right]
+            self.ranks[self.vocab[left]][self.vocab[right]] = rank
+            self.made.append(self.vocab[left + right])
         letters = byte_letters()
         self.inner = [self.vocab.get(c) for c in letters]
         self.final = [self.vocab.get(c + self.suffix) for c in letters]
+        self.all_bytes = None not in self.inner and None not in self.final
         found = "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))
         self.special_pattern = regex.compile(f"({found})") if found else None
-        self.cache: dict[str, array] = {}
+        # Chunks of late and of the time before; what is met again moves on, the rest is dropped.
+        self.young: dict[str, Coded] = {}
+        self.old: dict[str, Coded] = {}
 
     def merge(self, piece: str) -> list[int]:
         """IDs of one piece; a byte without a vocabulary entry is left out."""
         raw = piece.encode()
-        symbols = [self.inner[b] for b in raw[:-1]] + [self.final[raw[-1]]]
-        ids = [s for s in symbols if s is not None]
+        ids = [*map(self.inner.__getitem__, raw[:-1]), self.final[raw[-1]]]
+        if not self.all_bytes:
+            ids = [i for i in ids if i is not None]
         n = len(ids)
-        before = list(range(-1, n - 1))
-        after = [*range(1, n), -1]
-        merges = self.merges
-        queue = []
-        for at in range(n - 1):
-            hit = merges.get((ids[at], ids[at + 1]))
-            if hit:
-                queue.append((hit[0], at, hit[1]))
+        made, ranks = self.made, self.ranks
+        # Rank of the pair that begins at each place; an entry with another rank is stale.
+        pair = [ranks[a].get(b, -1) for a, b in zip(ids, ids[1:])]
+        queue = [rank << PLACE_BITS | at for at, rank in enumerate(pair) if rank >= 0]
+        if not queue:
+            return ids
+        pair.append(-1)
         heapq.heapify(queue)
+        push, pop = heapq.heappush, heapq.heappop
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        low = (1 << PLACE_BITS) - 1
         while queue:
-            rank, at, made = heapq.heappop(queue)
-            right = after[at]
-            if ids[at] < 0 or right < 0 or merges.get((ids[at], ids[right])) != (rank, made):
+            entry = pop(queue)
+            at = entry & low
+            rank = entry >> PLACE_BITS
+            if pair[at] != rank:
                 continue
-            ids[at], ids[right] = made, -1
-            after[at] = after[right]
-            if after[at] >= 0:
-                before[after[at]] = at
-                hit = merges.get((made, ids[after[at]]))
-                if hit:
-                    heapq.heappush(queue, (hit[0], at, hit[1]))
-            if before[at] >= 0:
-                hit = merges.get((ids[before[at]], made))
-                if hit:
-                    heapq.heappush(queue, (hit[0], before[at], hit[1]))
+            gone, here, left = after[at], made[rank], before[at]
+            right = after[at] = after[gone]
+            ids[at], ids[gone], pair[gone] = here, -1, -1
+            if right < n:
+                before[right] = at
+                pair[at] = hit = ranks[here].get(ids[right], -1)
+                if hit >= 0:
+                    push(queue, hit << PLACE_BITS | at)
+            else:
+                pair[at] = -1
+            if left >= 0:
+                pair[left] = hit = ranks[ids[left]].get(here, -1)
+                if hit >= 0:
+                    push(queue, hit << PLACE_BITS | left)
         return [i for i in ids if i >= 0]
 
-    def chunk(self, chunk: str) -> array:
-        """IDs of a lower-case stretch without white space."""
-        ids = self.cache.get(chunk)
-        if ids is None:
+    def coded(self, ids: list[int]) -> Coded:
+        return array("i", ids).tobytes(), self.decode(ids)
+
+    def chunk(self, chunk: str) -> Coded:
+        """What a lower-case stretch without white space becomes."""
+        found = self.young.get(chunk)
+        if found is not None:
+            return found
+        found = self.old.get(chunk)
+        if found is None:
             pieces = split_pieces(chunk)
             if len(pieces) == 1 and len(pieces[0]) == len(chunk):
-                ids = array("i", self.merge(chunk))
+                found = self.coded(self.merge(chunk))
             else:
-                ids = array("i")
-                for piece in pieces:
-                    ids.extend(self.chunk(piece) if len(piece) < len(chunk) else self.merge(piece))
-            if len(chunk) <= LONGEST_CACHED:
-                if len(self.cache) >= CACHED_CHUNKS:
-                    self.cache.clear()
-                self.cache[chunk] = ids
-        return ids
-
-    def plain(self, text: str, into: array) -> None:
+                parts = [self.chunk(p) if len(p) < len(chunk) else self.coded(self.merge(p)) for p in pieces]
+                found = b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts if p[1]])
+        if len(chunk) <= LONGEST_CACHED:
+            if len(self.young) >= CACHED_CHUNKS:
+                self.old, self.young = self.young, {}
+            self.young[chunk] = found
+        return found
+
+    def plain(self, text: str) -> list[Coded]:
         # One capital sigma at a time has the same small letter wherever it stands.
-        small = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        chunks = CHUNKS.findall(small.translate(NEWER_CAPITALS)) if UNUSUAL.search(small) else small.split()
-        known, chunk = self.cache.get, self.chunk
-        for c in chunks:
-            into.extend(known(c) or chunk(c))
+        small = compose(text).replace("Σ", "σ").lower()
+        if max(small, default="") >= CAPITALS_START and CAPITAL.search(small):
+            small = small.translate(NEWER_CAPITALS)
+        chunks = CHUNKS.findall(small) if any(c in small for c in SEPARATORS) else small.split()
+        known, chunk = self.young.get, self.chunk
+        return [known(c) or chunk(c) for c in chunks]
+
+    def both(self, text: str) -> Coded:
+        """IDs of a text, and the text that they decode to."""
+        if self.special_pattern is None or not self.special_pattern.search(text):
+            parts = self.plain(text)
+        else:
+            parts = []
+            for part in self.special_pattern.split(text):
+                if part in self.special:
+                    parts.append(self.coded([self.special[part]]))
+                elif part:
+                    parts.extend(self.plain(part))
+        return b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts if p[1]])
 
     def encode(self, text: str) -> array:
-        ids = array("i")
-        if self.special_pattern is None or not self.special_pattern.search(text):
-            self.plain(text, ids)
-            return ids
-        for part in self.special_pattern.split(text):
-            if part in self.special:
-                ids.append(self.special[part])
-            elif part:
-                self.plain(part, ids)
-        return ids
+        return array("i", self.both(text)[0])
 
     def decode(self, ids) -> str:
         """Vocabulary strings with a space between them; the file names no decoder."""
@@ -251,8 +312,8 @@ def encode_decode(
         bpe = codec(shared.value)
 
         def both(text: pa.Scalar) -> tuple:
-            ids = bpe.encode(text.as_py() or "")
-            return ids, bpe.decode(ids)
+            ids, decoded = bpe.both(text.as_py() or "")
+            return array("i", ids), decoded
 
         return both
 
@@ -281,9 +342,9 @@ def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
         for batch in batches:
             counts, of_ids, of_text = [], [], []
             for text in batch.column("text"):
-                ids = bpe.encode(text.as_py())
-                counts.append(len(ids))
-                of_text.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
+                ids, decoded = bpe.both(text.as_py())
+                counts.append(len(ids) // 4)
+                of_text.append(hashlib.sha256(decoded.encode()).hexdigest())
                 of_ids.append(hashlib.sha256(little_endian(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())],
@@ -293,9 +354,10 @@ def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
     return source.mapInArrow(run, schema)
 
 
-def little_endian(ids: array) -> bytes:
-    """IDs as little-endian 32-bit integers, whatever the machine."""
+def little_endian(ids: bytes) -> bytes:
+    """Native 32-bit integers as little-endian ones."""
     if sys.byteorder == "big":
-        ids = array("i", ids)
-        ids.byteswap()
-    return ids.tobytes()
+        turned = array("i", ids)
+        turned.byteswap()
+        return turned.tobytes()
+    return ids

@@ -1,11 +1,12 @@
 import hashlib
 import random
+import unicodedata
 
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers
 
 from corpusmill.llm import bpe, queries
 
@@ -57,6 +58,34 @@ def test_random_words(own, library):
         same(own, library, "".join(draw.choice("aeinrst'<|>é. \n12") for _ in range(40)))
 
 
+def test_every_code_point_beside_marks_is_composed_as_the_library_does():
+    compose = normalizers.NFC().normalize_str
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for mark in ("\u0323", "\u0301", "\u0345", "\u07fd", "\U00011930"):
+        for start in range(0, len(points), 4096):
+            part = points[start : start + 4096]
+            for text in (" a".join(c + mark for c in part), " a".join(mark + c for c in part)):
+                if bpe.compose(text) != compose(text):
+                    wrong = [hex(ord(c)) for c in part for t in (c + mark, mark + c) if bpe.compose("a" + t) != compose("a" + t)]
+                    raise AssertionError(f"{mark!r} beside {wrong[:20]}")
+
+
+def test_marks_among_marks(own, library):
+    marks = [chr(c) for c in range(0x110000) if unicodedata.combining(chr(c))]
+    draw = random.Random(2)
+    for _ in range(3000):
+        same(own, library, "e" + "".join(draw.choice(marks) for _ in range(4)) + draw.choice("xÉ \u0301"))
+
+
+def test_caches_of_two_generations_change_nothing(library, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHED_CHUNKS", 7)
+    coder = bpe.WordBpe(bpe.read_tokenizer(PATH))
+    draw = random.Random(3)
+    for _ in range(200):
+        same(coder, library, " ".join(f"word{min(draw.randrange(40), draw.randrange(40))}'s" for _ in range(30)))
+        assert len(coder.young) <= 7 and len(coder.old) <= 7
+
+
 def test_operators(make_docs, library):
     docs = make_docs([*enumerate(ODD), (None, None)], clash=True)
     encoded = bpe.encode(docs, PATH)
