@@ -60,3 +60,14 @@ def small_lookup(df: DataFrame, max_rows: int = LOOKUP_ROWS) -> DataFrame:
     if len(rows) > max_rows:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
+BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, a stored table of narrow rows, to broadcast if it has at most ``max_rows``.
+
+    A larger one stays as it is and is joined by a shuffle.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
