@@ -6,12 +6,11 @@ from pyspark.sql import functions as F
 
 from corpusmill.catalog import views as v
 from corpusmill.catalog.quality import ORACLES as QUALITY_ORACLES
-from corpusmill.catalog.views import RULES, SUFFIX, with_views
+from corpusmill.catalog.views import LABELS, RULES, SUFFIX, with_views
 from corpusmill.plans.materialize import scratch_path
-from corpusmill.streaming import match, pairs
+from corpusmill.streaming import match, pairs, reconcile
 
-
-# Files per micro-batch; each batch scans the static side of its join once.
+# Files per micro-batch; each batch scans the stored side of its join once.
 FILES_PER_TRIGGER = 64
 
 
@@ -61,10 +60,29 @@ def stream_pair_quality(spark, d):
     )
 
 
+def _metadata_stream(spark, d):
+    return v.metadata_of(_stream(spark, d, "lineitem"))
+
+
+def stream_usable(spark, d):
+    """Metadata rows land as a stream; the state of all IDs gives the usable files."""
+    checkpoint = scratch_path(spark, "stream_usable")
+    reconcile.run_agreement(_metadata_stream(spark, d), LABELS, checkpoint)
+    return reconcile.current_usable(v.text_files(spark, d), checkpoint)
+
+
+def stream_agreement(spark, d):
+    checkpoint = scratch_path(spark, "stream_agreement")
+    reconcile.run_agreement(_metadata_stream(spark, d), LABELS, checkpoint)
+    return reconcile.current_counts(v.text_files(spark, d), checkpoint)
+
+
 QUERIES = {
     "stream_match": stream_match,
     "stream_unmatched": stream_unmatched,
     "stream_pair_quality": stream_pair_quality,
+    "stream_usable": stream_usable,
+    "stream_agreement": stream_agreement,
 }
 
 ORACLES = {
@@ -76,4 +94,12 @@ ORACLES = {
         "ids",
     ),
     "stream_pair_quality": QUALITY_ORACLES["pair_quality"],
+    "stream_usable": with_views("SELECT * FROM usable", "usable"),
+    "stream_agreement": with_views(
+        """SELECT CAST(count(*) FILTER (n_metadata_rows = 1) AS BIGINT) AS single_row, count(*) FILTER (n_metadata_rows > 1) AS multiple_rows,
+            count(*) FILTER (n_metadata_rows > 1 AND k = 1) AS identical, count(*) FILTER (n_metadata_rows > 1 AND k > 1) AS conflicting
+        FROM files f JOIN agreed a ON f.file_id = a.file_id""",
+        "files",
+        "agreed",
+    ),
 }

@@ -62,7 +62,11 @@ def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as metadata rows; the row number is made from the row's content, not by a sort."""
-    return line_items(spark, sf_dir).selectExpr(
+    return metadata_of(line_items(spark, sf_dir))
+
+
+def metadata_of(items: DataFrame) -> DataFrame:
+    return items.selectExpr(
         """cast(conv(substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey,
             cast(round(l_extendedprice * 100) as bigint))), 1, 15), 16, 10) as bigint) as metadata_row""",
         """concat(l_orderkey, if(l_linenumber % 4 = 0, '.0', ''),
