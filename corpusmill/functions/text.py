@@ -104,3 +104,8 @@ def word_chunks(
 def preview(c: Column | str, n: int = 900) -> Column:
     """The first ``n`` characters, for reading side by side."""
     return F.substring(col(c), 1, n)
+
+
+def json_text(value: Column) -> Column:
+    """A string as JSON writes it, quotes included."""
+    return F.regexp_extract(F.to_json(F.struct(value.cast("string").alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.functions.text import json_text
 from corpusmill.plans.materialize import small_lookup
 from corpusmill.plans.prefix import dense_positions
 
@@ -89,3 +91,58 @@ def split_manifest(
     return dense_positions(ids, cell, [id_col]).join(small_lookup(sizes), cell).select(
         *cell, "position", id_col, "n_ids", F.lit(float(test_size)).alias("test_size"), F.lit(seed).alias("seed")
     )
+
+
+SECTIONS = ("excluded", "train", "test")
+
+
+def manifest_ids(rows: DataFrame, excluded: DataFrame, merged: DataFrame, group: str = "merged_task", id_col: str = "file_id") -> DataFrame:
+    """(group, section, position, ID): the IDs of each split, and the excluded ones that have a label in the group.
+
+    ``rows`` are the split rows, ``merged`` the merged labels of all IDs before exclusion.
+    """
+    out = merged.join(excluded.select(id_col).distinct(), id_col, "left_semi")
+    listed = rows.select(group, F.col("split").alias("section"), F.col(id_col).cast("string").alias(id_col)).unionByName(
+        out.select(group, F.lit("excluded").alias("section"), F.col(id_col).cast("string").alias(id_col))
+    )
+    return dense_positions(listed, [group, "section"], [id_col])
+
+
+def manifest_fragments(
+    ids: DataFrame,
+    counts: DataFrame,
+    groups: Groups,
+    test_size: float = 0.2,
+    seed: int = 42,
+    exclusion_list: str | None = None,
+    group: str = "merged_task",
+    id_col: str = "file_id",
+) -> DataFrame:
+    """(document, section_no, position, fragment): the manifest of each group as pieces of one JSON document.
+
+    ``ids`` comes from ``manifest_ids``, ``counts`` from ``merged_counts``. A line holds one
+    ID, so a list of any length is spread over tasks; joined in order the pieces are valid JSON.
+    """
+    parts = F.create_map(*[F.lit(x) for name, tasks in groups.items() for x in (name, json.dumps(list(tasks)))])
+    document = F.concat(F.col(group), F.lit(".json"))
+    head = F.concat(
+        F.lit('{"group": '), json_text(F.col(group)),
+        F.lit(', "components": '), parts[F.col(group)],
+        *[x for c in ("n_kept", "n_dropped_undetermined", "n_excluded") for x in (F.lit(f', "{c}": '), F.col(c).cast("string"))],
+        F.lit(f', "exclusion_list": {json.dumps(exclusion_list)}, "test_size": {json.dumps(test_size)}, "seed": {json.dumps(seed)}, "excluded_file_ids": ['),
+    )
+    # Even numbers are frames around the lists, odd ones their IDs.
+    frames = {0: head, 2: F.lit('], "splits": {"train": ['), 4: F.lit('], "test": ['), 6: F.lit("]}}\n")}
+    framed = counts.select(
+        document.alias("document"),
+        F.inline(F.array(*[F.struct(F.lit(no).alias("section_no"), text.alias("fragment")) for no, text in frames.items()])),
+    ).withColumn("position", F.lit(0).cast("bigint"))
+    number = F.create_map(*[F.lit(x) for at, section in enumerate(SECTIONS) for x in (section, 2 * at + 1)])
+    between = F.when(F.col("position") > 0, ",\n").otherwise("\n")
+    listed = ids.select(
+        document.alias("document"),
+        number[F.col("section")].alias("section_no"),
+        F.concat(between, json_text(F.col(id_col))).alias("fragment"),
+        "position",
+    )
+    return framed.unionByName(listed)

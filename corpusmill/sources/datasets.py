@@ -34,3 +34,21 @@ def write_tasks(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "err
 def read_tasks(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """All task folders; a filter on ``task`` or ``split`` prunes folders."""
     return spark.read.format(fmt).load(path)
+
+
+MANIFEST_SCHEMA = """`group` STRING, components ARRAY<STRING>, n_kept BIGINT, n_dropped_undetermined BIGINT, n_excluded BIGINT,
+    exclusion_list STRING, test_size DOUBLE, seed INT, excluded_file_ids ARRAY<STRING>,
+    splits STRUCT<train: ARRAY<STRING>, test: ARRAY<STRING>>"""
+
+
+def read_manifests(spark: SparkSession, path: str) -> DataFrame:
+    """Manifest documents, one row per ID with its section and place beside the group's figures."""
+    documents = spark.read.schema(MANIFEST_SCHEMA).json(path, multiLine=True)
+
+    def section(name: str, ids: str) -> DataFrame:
+        return documents.select(
+            "group", "components", "n_kept", "n_dropped_undetermined", "n_excluded", "exclusion_list", "test_size", "seed",
+            F.lit(name).alias("section"), F.posexplode(ids).alias("position", "file_id"),
+        )
+
+    return section("excluded", "excluded_file_ids").unionByName(section("train", "splits.train")).unionByName(section("test", "splits.test"))

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import string
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.operators.guards import require_columns
-from corpusmill.plans.rownumbers import number_text_rows
-from corpusmill.sources.corpus import plain_path
+from corpusmill.plans.materialize import broadcast_if_small, materialize
 
 # The code points in which Windows-1252 and ISO-8859-1 differ, built from the codec.
 _CP1252_BYTES = [b for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore")]
@@ -18,19 +20,95 @@ _CP1252_FROM = "".join(map(chr, _CP1252_BYTES))
 _CP1252_TO = bytes(_CP1252_BYTES).decode("cp1252")
 
 
-def split_by_encoding(spark: SparkSession, path: str | list[str]) -> tuple[list[str], list[str]]:
-    """Paths of the UTF-8 files and of the others.
+# More distinct header lines than this in one table are taken for a mistake.
+MOST_HEADERS = 100
 
-    Files are checked line by line on all executors; one verdict per file is fetched.
+
+def _western(raw: Column) -> Column:
+    """Windows-1252 bytes as text."""
+    return F.translate(F.decode(raw, "ISO-8859-1"), _CP1252_FROM, _CP1252_TO)
+
+
+def _numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(header, metadata_row, line) of every data line of files of any size.
+
+    A file is UTF-8 if all its lines are, else Windows-1252. The verdicts are a table, one
+    row per file, that is joined to the raw lines; rows are counted over all files in path
+    order, whatever their encodings.
     """
-    lines = spark.read.text(path)
-    verdicts = (
-        lines.groupBy(F.col("_metadata.file_path").alias("path"))
-        .agg(F.bool_and(F.is_valid_utf8("value")).alias("ok"))
-        .select(plain_path("path").alias("path"), "ok")
-        .collect()
+    lines = materialize(
+        spark.read.text(path)
+        .where(F.length(F.trim("value")) > 0)
+        .select(
+            F.col("value").cast("binary").alias("raw"),
+            F.is_valid_utf8("value").alias("ok"),
+            F.col("_metadata.file_path").alias("path"),
+            F.col("_metadata.file_block_start").alias("start"),
+            F.monotonically_increasing_id().alias("id"),
+        )
+    )
+    place = F.struct("start", "id")
+    text = F.when(F.col("ok"), F.col("raw").cast("string")).otherwise(_western(F.col("raw")))
+    files = materialize(
+        lines.groupBy("path")
+        .agg(F.bool_and("ok").alias("ok"), F.min_by("raw", place).alias("raw"), F.min_by("id", place).alias("header_id"))
+        .select(
+            "path",
+            "ok",
+            "header_id",
+            F.regexp_replace(text, "^\ufeff", "").alias("header"),
+            # One row per file; below, one per split.
+            F.row_number().over(Window.orderBy("path")).alias("file_no"),
+        )
+    )
+    earlier = Window.orderBy("path", "start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = materialize(
+        lines.groupBy("path", "start")
+        .agg(F.count("*").alias("n"), F.min("id").alias("id0"))
+        .select("path", "start", "id0", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("shift"))
     )
-    return sorted(r.path for r in verdicts if r.ok), sorted(r.path for r in verdicts if not r.ok)
+    placed = lines.drop("ok").join(broadcast_if_small(splits), ["path", "start"]).join(broadcast_if_small(files), "path")
+    # The headers of this file and of earlier ones don't count; data begin with row 2.
+    number = F.col("shift") + F.col("id") - F.col("id0") - F.col("file_no") + 2
+    return placed.where("id <> header_id").select("header", number.cast("bigint").alias("metadata_row"), text.alias("line"))
+
+
+def _numbered_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(header, metadata_row, cells) of files whose cells may hold line breaks: a task reads a file whole."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    western = str.maketrans(_CP1252_FROM, _CP1252_TO)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for place, content in zip(batch.column("path"), batch.column("content")):
+                raw = content.as_py()
+                try:
+                    text = raw.decode("utf-8-sig")
+                except UnicodeDecodeError:
+                    text = raw.decode("latin-1").translate(western)
+                rows = [r for r in csv.reader(io.StringIO(text, newline="")) if len(r) > 1 or (r and r[0].strip())]
+                if rows:
+                    out = io.StringIO()
+                    csv.writer(out, lineterminator="").writerow(rows[0])
+                    n = len(rows) - 1
+                    columns = [[place.as_py()] * n, [out.getvalue()] * n, range(n), rows[1:]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+    names = ["path", "header", "at", "cells"]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.string())]
+    records = materialize(files.mapInArrow(run, "path string, header string, at bigint, cells array<string>"))
+    earlier = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = records.groupBy("path").agg(F.count("*").alias("n"))
+    shifts = materialize(shifts.select("path", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("shift")))
+    placed = records.join(broadcast_if_small(shifts), "path")
+    return placed.select("header", (F.col("shift") + F.col("at") + 2).alias("metadata_row"), "cells")
+
+
+def header_names(line: str) -> list[str]:
+    """Column names of a header line: blank ones become ``_c<position>``, repeated ones end in their position."""
+    cells = next(csv.reader([line]), [])
+    lower = [c.lower() for c in cells]
+    return [f"_c{i}" if not c else f"{c}{i}" if lower.count(c.lower()) > 1 else c for i, c in enumerate(cells)]
 
 
 def read_csv(
@@ -38,38 +116,49 @@ def read_csv(
 ) -> DataFrame:
     """CSV with header as text columns; each file as UTF-8 or else Windows-1252.
 
-    Empty cells are blank, not NULL. ``multi_line`` allows line breaks inside quoted
-    cells, at the price of one task per file. ``number_rows`` adds ``metadata_row``,
-    counted from 2 as in a spreadsheet.
+    Every file has a header of its own; all must name the same columns, in any order. Empty
+    cells are blank, not NULL; blank lines are left out. ``multi_line`` allows line breaks
+    inside quoted cells, at the price of one task per file. ``number_rows`` adds
+    ``metadata_row``, counted from 2 over all files in path order, as in a spreadsheet.
     """
-    utf8, western = split_by_encoding(spark, path)
-    reader = {"header": True, "inferSchema": False, "escape": '"', "multiLine": multi_line}
-    frames = []
-    if utf8:
-        frames.append(spark.read.csv(utf8, encoding="UTF-8", **reader))
-    if western:
-        frames.append(spark.read.csv(western, encoding="ISO-8859-1", **reader))
-    if not frames:
-        raise ValueError(f"no CSV file under {path}")
-    tables = []
-    for i, raw in enumerate(frames):
-        rows = number_text_rows(raw) if number_rows else raw
-        latin = bool(western) and i == len(frames) - 1
-
-        def text(c: str, latin: bool = latin):
-            value = F.translate(F.col(f"`{c}`"), _CP1252_FROM, _CP1252_TO) if latin else F.col(f"`{c}`")
-            return F.coalesce(value, F.lit("")).alias(_decode(c) if latin else c)
-
-        names = [text(c) for c in raw.columns]
-        tables.append(rows.select(*(["metadata_row"] if number_rows else []), *names))
-    out = tables[0]
-    for more in tables[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-def _decode(name: str) -> str:
-    return name.translate(str.maketrans(_CP1252_FROM, _CP1252_TO))
+    rows = (_numbered_records if multi_line else _numbered_lines)(spark, path)
+    found = rows.groupBy("header").agg(F.min("metadata_row").alias("_first")).orderBy("_first").limit(MOST_HEADERS + 1).collect()
+    headers = [r.header for r in found]
+    if not headers:
+        headers = _headers_without_rows(spark, path)
+    if len(headers) > MOST_HEADERS:
+        raise ValueError(f"more than {MOST_HEADERS} different headers under {path}")
+    names = {h: header_names(h) for h in headers}
+    columns = names[headers[0]]
+    for h in headers[1:]:
+        if sorted(names[h]) != sorted(columns):
+            raise ValueError(f"files under {path} have different columns: {columns} and {names[h]}")
+    if not multi_line:
+        width = max(len(n) for n in names.values())
+        fields = ", ".join(f"c{i} string" for i in range(width))
+        parsed = F.from_csv("line", fields, {"escape": '"'})
+        rows = rows.withColumn("_cells", parsed).withColumn("cells", F.array(*[f"_cells.c{i}" for i in range(width)]))
+
+    def cell(name: str) -> Column:
+        value = None
+        for h in headers:
+            here = F.get("cells", F.lit(names[h].index(name)))
+            value = F.when(F.col("header") == h, here) if value is None else value.when(F.col("header") == h, here)
+        return F.coalesce(value, F.lit("")).alias(name)
+
+    return rows.select(*(["metadata_row"] if number_rows else []), *[cell(c) for c in columns])
+
+
+def _headers_without_rows(spark: SparkSession, path: str | list[str]) -> list[str]:
+    """The header of files that hold nothing else."""
+    first = spark.read.text(path).where(F.length(F.trim("value")) > 0).select(F.col("value").cast("binary").alias("raw")).first()
+    if first is None:
+        raise ValueError(f"no CSV file with a header under {path}")
+    raw = bytes(first.raw)
+    try:
+        return [raw.decode("utf-8-sig")]
+    except UnicodeDecodeError:
+        return [raw.decode("latin-1").translate(str.maketrans(_CP1252_FROM, _CP1252_TO))]
 
 
 def read_metadata(

@@ -37,6 +37,34 @@ def test_csv_encodings_are_chosen_per_file(spark, tmp_path):
     assert [t for _, t in df.dtypes] == ["string", "string"]
 
 
+@pytest.mark.parametrize("multi_line", [False, True])
+def test_row_numbers_are_unique_over_mixed_encodings(spark, tmp_path, multi_line):
+    (tmp_path / "a.csv").write_bytes("matched_ids,née\n1,“é”\n\n2,x\n".encode("utf-8"))
+    (tmp_path / "b.csv").write_bytes("matched_ids,née\n3,“é” €\n4,\n".encode("cp1252"))
+    (tmp_path / "c.csv").write_bytes("\ufeffnée,matched_ids\n\"5, 6\",7\n".encode("utf-8"))
+    (tmp_path / "d.csv").write_bytes(b"matched_ids,n\xe9e\n")
+    got = read_csv(spark, str(tmp_path), multi_line=multi_line, number_rows=True).orderBy("metadata_row").collect()
+    assert [tuple(r) for r in got] == [(2, "1", "“é”"), (3, "2", "x"), (4, "3", "“é” €"), (5, "4", ""), (6, "7", "5, 6")]
+    assert read_csv(spark, str(tmp_path / "d.csv"), multi_line=multi_line).columns == ["matched_ids", "née"]
+    (tmp_path / "e.csv").write_text("matched_ids,other\n1,2\n")
+    with pytest.raises(ValueError, match="different columns"):
+        read_csv(spark, str(tmp_path), multi_line=multi_line)
+
+
+def test_one_verdict_holds_for_all_splits_of_a_file(spark, tmp_path):
+    lines = "".join(f"{i},{'é' if i == 1500 else 'x'}{'y' * (i % 40)}\n" for i in range(3000))
+    (tmp_path / "w.csv").write_bytes(("i,t\n" + lines).encode("cp1252"))
+    (tmp_path / "x.csv").write_bytes(("i,t\n" + lines).encode("utf-8"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8000")
+    try:
+        rows = read_csv(spark, str(tmp_path), number_rows=True).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(128 << 20))
+    assert sorted(r.metadata_row for r in rows) == list(range(2, 6002))
+    assert all(int(r.i) == (r.metadata_row - 2) % 3000 for r in rows)
+    assert [r.t[0] for r in rows if r.i == "1500"] == ["é", "é"]
+
+
 def test_csv_quotes_and_line_breaks(spark, tmp_path):
     path = tmp_path / "q.csv"
     path.write_text('matched_ids,a\n"1, 2","say ""hi""\nthere"\n3,x\n', encoding="utf-8")
