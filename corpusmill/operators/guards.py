@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.operators.digests import FAN_OUT, LEVELS, bucket_of, differing_buckets, digest_tree
+
 
 def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     if not df.columns:
@@ -71,13 +73,32 @@ def text_conflicts(rows: DataFrame, id_col: str = "file_id", text: str = "text")
     )
 
 
-def label_map_diff(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("file_id", "task")) -> DataFrame:
-    """Keys or labels on which two label tables disagree."""
+def label_map_diff(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str] = ("file_id", "task"),
+    left_tree: DataFrame | None = None,
+    right_tree: DataFrame | None = None,
+) -> DataFrame:
+    """Keys or labels on which two label tables disagree.
+
+    Digest trees of both sides tell the buckets of keys that differ, and only their rows are
+    joined; equal tables are not joined at all. Trees that are stored with the tables may be given.
+    """
+    trees = [
+        digest_tree(side.select(*keys, "label"), keys) if tree is None else tree
+        for side, tree in ((left, left_tree), (right, right_tree))
+    ]
+    buckets = differing_buckets(*trees)
+    if not buckets:
+        return left.select(*keys, F.col("label").alias("left_label"), F.col("label").alias("right_label")).limit(0)
+    here = bucket_of(keys).isin(buckets) if len(buckets) < FAN_OUT**LEVELS else F.lit(True)
     joined = (
-        left.select(*keys, F.col("label").alias("left_label"))
+        left.where(here)
+        .select(*keys, F.col("label").alias("left_label"))
         .withColumn("_left", F.lit(True))
         .join(
-            right.select(*keys, F.col("label").alias("right_label")).withColumn("_right", F.lit(True)),
+            right.where(here).select(*keys, F.col("label").alias("right_label")).withColumn("_right", F.lit(True)),
             list(keys),
             "full_outer",
         )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.labels import clean_labels
 from corpusmill.operators.matching import explode_ids, valid_files
+from corpusmill.plans.materialize import materialize
 from corpusmill.plans.prefix import dense_positions
 
 
@@ -132,7 +133,8 @@ def listed_rows(files: DataFrame, meta: DataFrame, ids: DataFrame, row: str, cel
     """
     rows = explode_ids(meta.select(row, cell), cell).join(ids.select("file_id"), "file_id", "left_semi")
     paired = valid_files(files).select("text_file", "file_id").join(rows, "file_id")
-    placed = dense_positions(paired, ["file_id"], ["text_file", row, cell])
+    # Written once: the first places and the lines themselves both read it.
+    placed = materialize(dense_positions(paired, ["file_id"], ["text_file", row, cell]))
     firsts = placed.groupBy("file_id", cell).agg(F.min("position").alias("_first_at"))
     return placed.join(firsts, ["file_id", cell]).select(
         "file_id", "position", row, cell, (F.col("position") == F.col("_first_at")).alias("first_of_cell")

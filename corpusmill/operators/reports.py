@@ -8,7 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.numbers import percent, prevalence, python_round
-from corpusmill.operators.metrics import classification_metrics, decide, rank_metrics, reaches, with_prior
+from corpusmill.operators.metrics import (
+    classification_metrics,
+    confusion_metrics,
+    decide,
+    rank_metrics,
+    reaches,
+    with_prior,
+)
 
 # Column order of the flat metric rows and the metrics of a result table.
 METRIC_COLUMNS = (
@@ -120,18 +127,24 @@ def decision_arms(
 
     An arm is ``(mode, threshold)``; the threshold ``"prior"`` is the train prior.
     """
-    scored = with_prior(preds, train)
-    rules = F.array(
+    parsed = decide(with_prior(preds, train), "greedy").drop("y_pred")
+    # Each row counts in the cells of every arm where it stands; only groups are unfolded by arm.
+    cells = {"tn": (0, 0), "fp": (0, 1), "fn": (1, 0), "tp": (1, 1)}
+    said = {arm: decide_column(mode, threshold) for arm, (mode, threshold) in arms.items()}
+    counted = parsed.select(*by, "y_true", F.struct(*[p.alias(arm) for arm, p in said.items()]).alias("_said")).groupBy(*by).agg(
         *[
-            F.struct(F.lit(name).alias("arm"), decide_column(mode, threshold).alias("y_pred"))
-            for name, (mode, threshold) in arms.items()
+            F.count_if((F.col("y_true") == true) & (F.col(f"_said.{arm}") == pred)).alias(f"_{arm}_{cell}")
+            for arm in said
+            for cell, (true, pred) in cells.items()
         ]
     )
-    parsed = decide(scored, "greedy").drop("y_pred")
-    per_arm = parsed.select(*by, "y_true", F.inline(rules))
-    measured = classification_metrics(per_arm, [*by, "arm"])
+    per_arm = counted.select(
+        *by,
+        F.inline(F.array(*[F.struct(F.lit(arm).alias("arm"), *[F.col(f"_{arm}_{c}").alias(c) for c in cells]) for arm in said])),
+    )
     return (
-        measured.groupBy(*by)
+        confusion_metrics(per_arm)
+        .groupBy(*by)
         .pivot("arm", list(arms))
         .agg(*[F.max(python_round(m, 4)).alias(m) for m in metrics])
     )

@@ -179,3 +179,20 @@ def test_absent_and_doubled_runs_are_violations(spark):
         ("gone", "x", "missing"), ("gone", "y", "missing"), ("m", "x", "duplicate"), ("m", "y", "missing"),
     ]
     assert guards.summary_violations(rows.where("model = 'q'"), ["x"], [("n",)]).count() == 1
+
+
+def test_decision_arms_are_not_multiplied_by_rows(spark):
+    from corpusmill.operators.reports import decision_arms
+
+    rows = [("r", "t", i % 2, (i * 37 % 100) / 100, "yes" if i % 3 else "no") for i in range(60)]
+    preds = spark.createDataFrame(rows, "run string, task string, y_true int, p_yes double, raw_output string")
+    train = spark.createDataFrame([("t", int(i < 3)) for i in range(10)], "task string, label int")
+    arms = {"greedy": ("greedy", None), "half": ("prob", 0.5), "prior": ("prob", "prior")}
+    out = decision_arms(preds, train, arms)
+    row = out.first()
+    for arm, said in {"greedy": lambda p, a: a == "yes", "half": lambda p, a: p >= 0.5, "prior": lambda p, a: p >= 0.3}.items():
+        hits = [int(said(p, a)) == y for _, _, y, p, a in rows]
+        assert row[f"{arm}_accuracy"] == round(sum(hits) / 60, 4)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # One row per group is unfolded, above the aggregate of the rows.
+    assert plan.index("Generate") < plan.rindex("Aggregate")

@@ -85,3 +85,35 @@ def test_spread_leaves_many_splits_alone(spark):
     many = spark.range(0, 1000, 1, 64)
     assert spread(many, "id") is many
     assert spread(spark.range(0, 1000, 1, 1), "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_counts_of_batches_give_the_cuts_of_all_rows(spark):
+    from corpusmill.plans.split import cuts_of_counts, hash_counts, merge_hash_counts, split_cuts
+
+    rows = spark.range(4000).selectExpr("'t' as task", "cast(id % 3 = 0 as int) as label", "cast(id % 1700 as string) as file_id")
+    batches = [rows.where(f"pmod(xxhash64(file_id, label), 4) = {k}") for k in range(4)]
+    counts = hash_counts(batches[0], ["task"], "label", "file_id", 42)
+    for batch in batches[1:]:
+        counts = merge_hash_counts(counts, hash_counts(batch, ["task"], "label", "file_id", 42))
+    found = sorted(map(tuple, cuts_of_counts(counts, ["task"], "label", 0.2).collect()))
+    assert found == sorted(map(tuple, split_cuts(rows, ["task"], "label", "file_id", 0.2, 42).collect())) and len(found) == 2
+
+
+def test_a_hot_id_in_the_edge_prefix_is_one_line(spark):
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    from corpusmill.plans.split import stratified_split
+
+    ids = sorted(range(300), key=lambda i: hashlib.md5(f"42|{i}".encode()).hexdigest())
+    # A third of the rows belong to the ID at which the quota ends.
+    hot = ids[30]
+    rows = [("t", 1, str(i)) for i in ids] + [("t", 1, str(hot))] * 150
+    df = spark.createDataFrame(rows, "task string, label int, file_id string").repartition(8)
+    split = stratified_split(df, ["task"], "label", "file_id", 0.2, 42)
+    test = {r.file_id for r in split.where("split = 'test'").collect()}
+    # 90 of 450 rows: the 30 IDs before the hot one, and all of its rows.
+    assert test == {str(i) for i in ids[:31]}
+    plan = split._jdf.queryExecution().executedPlan().toString()
+    assert split.agg(F.count("*")).first()[0] == 450 and "Window" not in plan.split("BroadcastExchange")[0]
