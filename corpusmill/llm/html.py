@@ -28,10 +28,12 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(?P<alone>/?)(?:>|\Z)",
+    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)",
     re.S,
 )
-ATTRIBUTE = re.compile(r"""(?P<name>[^\s=/>"']+)\s*=\s*(?:"(?P<d>[^"]*)"|'(?P<s>[^']*)'|(?P<p>[^\s>]+))""")
+SPECIAL = re.compile(r"[>\"']")
+# Names begin where no other character of a name stands before: each is tried once.
+ATTRIBUTE = re.compile(r"""(?<![^\s=/>"'])(?P<name>[^\s=/>"']++)\s*+=\s*(?:"(?P<d>[^"]*)"|'(?P<s>[^']*)'|(?P<p>[^\s>]+))""")
 WHITE = re.compile(r"\s+")
 NAME_PART = re.compile(r"[a-z]+")
 MARKS = frozenset(".,;:!?…。，、；：！？")
@@ -186,32 +188,72 @@ class PageBlocks:
             self.pop()
 
 
+class TagEnds:
+    """Ends of tags, in time that grows with the page only, however many tags are broken.
+
+    A scan from a tag's name hops over quoted values. One that meets a quote without its
+    partner fails, and so does every later scan that comes past one of its stops; these are
+    remembered, so no stop is passed twice in vain.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.doomed: set[int] = set()
+        self.stretch = (0, -1)  # between these places the next stop is the second
+
+    def _stop(self, at: int) -> int:
+        """The next bracket or quote from ``at`` on, the page's length if there is none."""
+        begin, stop = self.stretch
+        if not begin <= at <= stop:
+            m = SPECIAL.search(self.page, at)
+            stop = m.start() if m else len(self.page)
+            self.stretch = (at, stop)
+        return stop
+
+    def find(self, at: int) -> int:
+        """Place of the bracket that ends the tag, the page's length without one, -1 for an open quote."""
+        passed = []
+        while True:
+            stop = self._stop(at)
+            if stop == len(self.page) or self.page[stop] == ">":
+                return stop
+            passed.append(stop)
+            partner = -1 if stop in self.doomed else self.page.find(self.page[stop], stop + 1)
+            if partner < 0:
+                self.doomed.update(passed)
+                return -1
+            at = partner + 1
+
+
 def page_blocks(page: str) -> list[Block]:
     """Parse a page, however broken: unclosed elements end with their parents or the page."""
-    blocks, at, size = PageBlocks(), 0, len(page)
+    blocks, at, size, ends = PageBlocks(), 0, len(page), TagEnds(page)
     while at < size:
         mark = page.find("<", at)
         if mark < 0:
             blocks.text(page[at:])
             break
         m = TOKEN.match(page, mark)
-        if m is None:  # a plain "<"
+        end = ends.find(m.end()) if m and m["tag"] else None
+        if m is None or end == -1:  # a plain "<"
             blocks.text(page[at : mark + 1])
             at = mark + 1
             continue
         blocks.text(page[at:mark])
-        at = m.end()
+        at = m.end() if end is None else min(end + 1, size)
         if m["cdata"] is not None:
             blocks.text(m["cdata"])
         elif m["tag"]:
-            tag = m["tag"].lower()
+            tag, attributes = m["tag"].lower(), page[m.end() : end]
+            alone = attributes.endswith("/")
             if m["close"]:
                 blocks.close(tag)
-            elif tag in RAW and not m["alone"]:
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else size
+            elif tag in RAW and not alone:
+                last = re.compile(rf"</{re.escape(tag)}\b", re.I).search(page, at)
+                close = page.find(">", last.end()) if last else -1
+                at = close + 1 if close >= 0 else size
             else:
-                blocks.open(tag, m["attributes"], bool(m["alone"]) and tag not in BLOCKS)
+                blocks.open(tag, attributes[:-1] if alone else attributes, alone and tag not in BLOCKS)
     blocks.flush()
     return blocks.blocks
 

@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 
@@ -51,3 +52,33 @@ def test_query(spark):
         blocks = [html.unescape(re.sub(r"<[^>]*>?", "", b)) for b in re.split(r"</?(?:p|h1|br)\b[^>]*>", article)]
         blocks = [re.sub(r"\s+", " ", b).strip() for b in blocks]
         assert r.text == "\n\n".join(b for b in blocks if b)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        lambda n: "<i " * n + '"',
+        lambda n: "<i a='\"' " * n + '"',
+        lambda n: '<i "' * n + "'",
+        lambda n: "<b x=1 '" * n,
+        lambda n: "<p " + "a" * n + " b=1>",
+        lambda n: "<script>" + "</script " * n,
+        lambda n: "<!--" * n,
+    ],
+)
+def test_broken_pages_take_time_in_proportion(page):
+    def seconds(n):
+        text, best = page(n), 9.0
+        for _ in range(3):
+            start = time.perf_counter()
+            H.page_blocks(text)
+            best = min(best, time.perf_counter() - start)
+        return best
+
+    small = seconds(20_000)
+    assert seconds(80_000) < 10 * small + 0.05
+
+
+def test_quoted_brackets_and_open_quotes():
+    blocks = H.page_blocks("<p title='a > b' id=x/>one</p><p title=\"it's\">two</p><p class='>three")
+    assert [b.text for b in blocks] == ["one", "two", "<p class='>three"]
