@@ -14,8 +14,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
-from corpusmill.llm.common import WHITE_CLASS, Stage, broadcast_if_small, own_names, stage, whole_text
+from corpusmill.llm.common import WHITE_CLASS, Stage, broadcast_if_small, own_names, stage, unused_name, whole_text
 from corpusmill.plans.materialize import scratch_path
 
 INDEX_SCHEMA = "digest binary, keep_id bigint, n_chars int"
@@ -37,7 +38,19 @@ class DigestIndex:
 
     @staticmethod
     def open(spark: SparkSession, name: str, path: str, buckets: int) -> DigestIndex:
-        """Create the index, or attach the files that an earlier session left at ``path``."""
+        """Create the index, or attach the files that an earlier session left at ``path``.
+
+        The number of buckets is stored beside the files; another one would look for digests
+        in the wrong buckets, and fails.
+        """
+        settings = f"{path.rstrip('/')}-settings"
+        try:
+            stored = spark.read.schema("buckets int").parquet(settings).first().buckets
+        except AnalysisException:
+            stored = buckets
+            spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.parquet(settings)
+        if stored != buckets:
+            raise ValueError(f"the index at {path} has {stored} buckets, not {buckets}")
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {name} ({INDEX_SCHEMA}) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
@@ -97,33 +110,49 @@ def mark_duplicates(rows: DataFrame, index: DigestIndex) -> DataFrame:
     A text that an earlier batch brought keeps the representative of that batch, so that a
     batch sent again gets the same marks. ``group_size`` counts the rows of this batch. Empty
     texts are equal to each other and to texts of white space only. A row repeated with its ID
-    and text has a line per repetition, each marked as kept. An empty batch gives no rows.
+    and text has a line per repetition, each marked as kept; of rows that share an ID and a text
+    but for white space, only those of the longest original are. An empty batch gives no rows.
     """
+    return own_names(_decided(rows, index), "doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def _decided(rows: DataFrame, index: DigestIndex) -> DataFrame:
+    """The marks, with the digest and the code points of each row."""
     groups = digest_groups(rows)
     index.append(groups)
     sizes = groups.select("digest", "group_size")
     # As a table of its own, the decisions are shuffled like the rows, and a text that many
     # rows share can be split over tasks.
-    decided = stage(index.table().select("digest", "keep_id").join(sizes.hint("merge"), "digest"), "decided").df
+    known = index.table().select("digest", "keep_id", F.col("n_chars").alias("_longest"))
+    decided = stage(known.join(sizes.hint("merge"), "digest"), "decided").df
+    same = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("_longest"))
     return rows.join(decided, "digest").select(
         "doc_id",
         "keep_id",
         "group_size",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        same.alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        "digest",
+        "n_chars",
     )
 
 
 def drop_exact_duplicates(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns; one of rows repeated with ID and text."""
-    marks = stage(mark_duplicates(digest_rows(docs, id_col, text_col).df, index), "marks").df
+    """The documents that stay, with all their columns; one of rows that share ID and text but for white space."""
+    marks = stage(_decided(digest_rows(docs, id_col, text_col).df, index), "marks").df
     # Where few rows go, the texts need no shuffle.
-    gone = broadcast_if_small(marks.where("not kept").select("doc_id", F.unhex("text_sha256").alias("digest")))
-    here = docs[id_col].eqNullSafe(gone["doc_id"]) & (digest(docs[text_col]) == gone["digest"])
+    gone = broadcast_if_small(marks.where("not kept").select("doc_id", "digest", "n_chars"))
+    here = (
+        docs[id_col].eqNullSafe(gone["doc_id"])
+        & (digest(docs[text_col]) == gone["digest"])
+        & (F.length(F.coalesce(docs[text_col], F.lit(""))) == gone["n_chars"])
+    )
     left = docs.join(gone, here, "left_anti")
     repeated = marks.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if repeated.isEmpty():
         return left
     again = left[id_col].eqNullSafe(repeated["doc_id"])
     single = left.join(repeated, again, "left_anti")
-    return single.unionByName(left.join(repeated, again, "left_semi").dropDuplicates([id_col, text_col]))
+    several, mark = left.join(repeated, again, "left_semi"), unused_name(docs, "_digest")
+    once = several.withColumn(mark, digest(F.col(text_col))).dropDuplicates([id_col, mark]).drop(mark)
+    return single.unionByName(once)

@@ -86,3 +86,19 @@ def test_query_equals_sql(spark, scale):
     sf_dir = f"/root/testdata/{scale}"
     df = queries.QUERIES["op5_exact_dedup"](spark, sf_dir)
     assert differences(df, connect(sf_dir), queries.ORACLES["op5_exact_dedup"]) is None
+
+
+def test_another_bucket_count_is_refused(spark, make_docs):
+    index = E.DigestIndex.scratch(spark)
+    marks(make_docs([(1, "one")]), index)
+    with pytest.raises(ValueError, match="buckets"):
+        E.DigestIndex.open(spark, index.name + "_other", index.path, index.buckets * 2)
+
+
+def test_one_id_with_equal_texts_stays_once(spark, make_docs):
+    rows = [(9, "abc"), (9, "a  b  c"), (9, "other"), (10, "a b c"), (11, "x y"), (11, "xy "), (11, "x y")]
+    found = marks(make_docs(rows), E.DigestIndex.scratch(spark))
+    assert sorted((r[0], r[3]) for r in found) == [(9, False), (9, True), (9, True), (10, False), (11, True), (11, True), (11, True)]
+    left = E.drop_exact_duplicates(make_docs(rows), E.DigestIndex.scratch(spark)).select("doc_id", "text").collect()
+    assert sorted((r.doc_id, r.text) for r in left if r.doc_id == 9) == [(9, "a  b  c"), (9, "other")]
+    assert [r.doc_id for r in left if r.doc_id != 9] == [11]
