@@ -56,10 +56,10 @@ class Stage:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def stage(df: DataFrame, name: str) -> Stage:
+def stage(df: DataFrame, name: str, compression: str = "snappy") -> Stage:
     """Write ``df`` below ``spark.checkpoint.dir`` and read it from there."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return Stage(df.sparkSession.read.schema(df.schema).parquet(path), path)
 
 

@@ -14,7 +14,11 @@ any store that Spark reaches; the payload in them is this module's own.
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import sys
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -22,6 +26,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,6 +42,25 @@ STEP = 256
 # A block is closed once it holds so many IDs; a longer document has a block of its own.
 BLOCK_IDS = 1 << 20
 TEXTS_AT_A_TIME = 64
+# Texts are encoded together up to so many characters; a longer one is taken alone.
+CHARS_AT_A_TIME = 4 << 20
+# A worker keeps at most twice so many stretches of text with their IDs, about 200 bytes each.
+CACHED_STRETCHES = 1_000_000
+LONGEST_CACHED = 64
+# Marks where texts are split; one that holds it is split in another way.
+CUT = "\x01"
+# Unicode white space as the tokenizer's pattern knows it.
+WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+# Stretches at whose ends the tokenizer always cuts: letters and the space before them up to white
+# space or a mark, else all up to white space, white space but its last character, and that one
+# where it is no space.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+STRETCHES = re.compile(f" ?[{LETTERS}]+(?=[{WHITE},.;:!?]|\\Z)| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]")
+ONE_PIECE = re.compile(f" ?[{LETTERS}]+")
+# A letter with a mark behind it, where a word ends.
+WORD_END = r"([A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}])([,.;:!?])"
+# White space other than line breaks and spaces.
+ODD_WHITE = re.compile("[\\t\\x0b\\x0c\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -140,39 +164,148 @@ def _codebook(lengths: bytes) -> Codebook:
     return Codebook(np.frombuffer(lengths, np.uint8))
 
 
+class Encoder:
+    """The library's encoder, asked once for each stretch of text that recurs.
+
+    The file's tokenizer cuts a text by a pattern before it merges, and never merges across a
+    cut. Texts are split where the pattern cuts in any case, many texts at once; the IDs of
+    a text are those of its stretches, and only distinct ones are looked up. Texts with
+    uncommon white space are split one by one, and a text that spells out a special token goes
+    to the library as it is. IDs are little-endian, ``width`` bytes each.
+    """
+
+    def __init__(self, file_text: str, width: int):
+        # Spark has a task per core already.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_str(file_text)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.model = self.library.model
+        self.kind, self.code = f"<u{width}", {2: "H", 4: "I"}[width]
+        spec = json.loads(file_text)
+        before = spec["pre_tokenizer"]
+        self.cuts = before["type"] == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"] and not spec["normalizer"]
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        spare = iter(range(0x100, 0x200))
+        # The visible letter that the vocabulary spells each other byte with.
+        self.letters = {b: next(spare) for b in range(256) if b not in shown}
+        self.space = chr(self.letters[0x20])
+        # IDs of stretches of late, and of the time before. What is met again moves on, the rest is dropped.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _packed(self, ids: list[int]) -> bytes:
+        packed = array(self.code, ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
+
+    def _ask_library(self, text: str) -> bytes:
+        return self._packed(self.library.encode(text, add_special_tokens=False).ids)
+
+    def _ask(self, stretch: str) -> bytes:
+        word = stretch[1:] if stretch[0] == " " else stretch
+        if word.isascii() and word.isalpha():
+            # A single piece, whose letters the vocabulary spells as they are.
+            spelled = stretch if word is stretch else self.space + word
+        elif ONE_PIECE.fullmatch(stretch):
+            spelled = stretch.encode().decode("latin-1").translate(self.letters)
+        else:
+            return self._ask_library(stretch)
+        return self._packed([t.id for t in self.model.tokenize(spelled)])
+
+    def ids_of(self, stretches: list[str]) -> list[bytes]:
+        """IDs of each stretch."""
+        if len(self.young) >= CACHED_STRETCHES:
+            self.old, self.young = self.young, {}
+        young, old, ask = self.young, self.old, self._ask
+        found = []
+        for stretch in stretches:
+            ids = young.get(stretch)
+            if ids is None:
+                ids = (old.get(stretch) or ask(stretch)) if stretch else b""
+                if len(stretch) <= LONGEST_CACHED:
+                    young[stretch] = ids
+            found.append(ids)
+        return found
+
+    def _alone(self, text: str) -> bytes:
+        if not self.cuts or any(t in text for t in self.special):
+            return self._ask_library(text)
+        return b"".join(self.ids_of(STRETCHES.findall(text)))
+
+    def _even(self, text: str) -> bool:
+        """Whether single spaces and up to two line breaks are all the white space between words."""
+        return not (
+            "  " in text or " \n" in text or "\n " in text or "\n\n\n" in text or CUT in text
+            or text.endswith((" ", "\n\n")) or text.startswith(" ") or ODD_WHITE.search(text) or any(t in text for t in self.special)
+        )
+
+    def _together(self, texts: list[str]) -> list[bytes]:
+        """IDs of even texts: distinct stretches are looked up, all others follow by position."""
+        marked = pc.replace_substring(pa.array(texts, pa.large_string()), " ", CUT + " ")
+        marked = pc.replace_substring(marked, "\n", f"{CUT}\n{CUT}")
+        marked = pc.replace_substring_regex(marked, WORD_END, rf"\1{CUT}\2")
+        split = pc.split_pattern(marked, CUT)
+        coded = split.flatten().dictionary_encode()
+        found = self.ids_of(coded.dictionary.to_pylist())
+        pieces = np.empty(len(found), object)
+        pieces[:] = found
+        inline = pieces[coded.indices.to_numpy(zero_copy_only=False)].tolist()
+        bounds = (split.offsets.to_numpy() - split.offsets[0].as_py()).tolist()
+        return [b"".join(inline[a:z]) for a, z in zip(bounds, bounds[1:])]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        even = [self.cuts and bool(text) and self._even(text) for text in texts]
+        together = [text for text, is_even in zip(texts, even) if is_even]
+        done = iter(self._together(together) if together else ())
+        return [next(done) if is_even else self._alone(text) if text else b"" for text, is_even in zip(texts, even)]
+
+
 @lru_cache(maxsize=4)
-def _tokenizer(file_text: str):
-    # Spark has a task per core already.
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+def _encoder(file_text: str, width: int) -> Encoder:
+    return Encoder(file_text, width)
 
-    made = Tokenizer.from_str(file_text)
-    made.no_truncation()
-    made.no_padding()
-    return made
 
+def id_width(file_text: str, end_id: int) -> int:
+    """Bytes that hold any ID of a tokenizer file."""
+    spec = json.loads(file_text)
+    largest = max([end_id, *spec["model"]["vocab"].values(), *[t["id"] for t in spec["added_tokens"]]])
+    return 2 if largest < 1 << 16 else 4
 
-def token_rows(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, crc, ids): IDs of each whole text and ``end_id``, little-endian 32-bit, with their CRC-32."""
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with a bounded length of texts, one row at least."""
+    ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + CHARS_AT_A_TIME, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def token_rows(docs: DataFrame, file_text: str, end_id: int, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, n, crc, ids): IDs of each whole text and ``end_id``, ``width`` bytes each, and the CRC-32 of them as 32-bit integers."""
     spark = docs.sparkSession
     ship_package(spark)
-    with open(tokenizer, encoding="utf-8") as file:
-        shared = spark.sparkContext.broadcast(file.read())
+    shared = spark.sparkContext.broadcast(file_text)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), whole_text(f"`{text_col}`").alias("text"))
     schema = T.StructType([rows.schema["id"], *T._parse_datatype_string("n bigint, crc bigint, ids binary").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _tokenizer(shared.value).encode_batch_fast
-        end = np.array([end_id], "<u4").tobytes()
+        encoder = _encoder(shared.value, width)
+        end = np.array([end_id], encoder.kind).tobytes()
         for batch in batches:
-            for start in range(0, batch.num_rows, TEXTS_AT_A_TIME):
-                part = batch.slice(start, TEXTS_AT_A_TIME)
-                found = encode(part.column("text").to_pylist(), add_special_tokens=False)
-                ids = [np.array(f.ids, "<u4").tobytes() + end for f in found]
+            for part in _slices(batch):
+                ids = [i + end for i in encoder.encode(part.column("text").to_pylist())]
                 columns = [
                     part.column("id"),
-                    pa.array([len(i) // 4 for i in ids], pa.int64()),
-                    pa.array([crc32(i) for i in ids], pa.int64()),
+                    pa.array([len(i) // width for i in ids], pa.int64()),
+                    pa.array([crc32(np.frombuffer(i, encoder.kind).astype("<u4")) for i in ids], pa.int64()),
                     pa.array(ids, pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
@@ -180,14 +313,15 @@ def token_rows(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_c
     return rows.mapInArrow(run, schema)
 
 
-def id_counts(rows: DataFrame) -> DataFrame:
+def id_counts(rows: DataFrame, width: int) -> DataFrame:
     """(symbol, n) over all IDs of all rows; a task sums its own rows first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                here = np.bincount(np.frombuffer(ids.as_py(), "<u4"), minlength=len(total))
+            for start in range(0, batch.num_rows, TEXTS_AT_A_TIME):
+                ids = b"".join(batch.column(0).slice(start, TEXTS_AT_A_TIME).to_pylist())
+                here = np.bincount(np.frombuffer(ids, f"<u{width}"), minlength=len(total))
                 here[: len(total)] += total
                 total = here
         seen = np.flatnonzero(total)
@@ -205,7 +339,7 @@ def fit_lengths(counts: DataFrame, limit: int = LIMIT) -> np.ndarray:
     return code_lengths(table, limit)
 
 
-def encode_blocks(rows: DataFrame, lengths: np.ndarray, block_ids: int = BLOCK_IDS) -> DataFrame:
+def encode_blocks(rows: DataFrame, lengths: np.ndarray, width: int, block_ids: int = BLOCK_IDS) -> DataFrame:
     """Blocks of (id, ids) rows in the order in which tasks have them.
 
     ``part`` numbers tasks, ``first`` counts the IDs of a part before a block.
@@ -231,7 +365,7 @@ def encode_blocks(rows: DataFrame, lengths: np.ndarray, block_ids: int = BLOCK_I
         for batch in batches:
             for doc_id, raw in zip(batch.column("id"), batch.column("ids")):
                 ids.append(doc_id.as_py())
-                pieces.append(np.frombuffer(raw.as_py(), "<u4"))
+                pieces.append(np.frombuffer(raw.as_py(), f"<u{width}"))
                 held += len(pieces[-1])
                 if held >= block_ids:
                     yield close()
@@ -261,15 +395,18 @@ class TokenFiles:
         order. Of an empty table the codebook and the files are empty.
         """
         spark = docs.sparkSession
-        rows = stage(token_rows(docs, tokenizer, end_id, id_col, text_col), "tokens")
-        lengths = fit_lengths(id_counts(rows.df), limit)
+        with open(tokenizer, encoding="utf-8") as file:
+            file_text = file.read()
+        width = id_width(file_text, end_id)
+        rows = stage(token_rows(docs, file_text, end_id, width, id_col, text_col), "tokens", "zstd")
+        lengths = fit_lengths(id_counts(rows.df, width), limit)
         used = [(int(s), int(lengths[s])) for s in np.flatnonzero(lengths)]
         spark.createDataFrame(used, "symbol int, length int").coalesce(1).write.parquet(f"{folder}/codebook")
         # Rows of one ID, say NULL, may be many: the further keys let the ranges cut between them.
         apart = rows.df.withColumn("_row", F.monotonically_increasing_id())
         order = ["id", "n", "crc", "_row"]
         ranged = apart.repartitionByRange(*order).sortWithinPartitions(*order)
-        encode_blocks(ranged, lengths, block_ids).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
+        encode_blocks(ranged, lengths, width, block_ids).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
         rows.release()
         held = spark.read.parquet(f"{folder}/blocks").groupBy("part").agg(F.sum("n_ids").alias("n"))
         earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -91,6 +91,33 @@ def test_codes_are_canonical():
     assert [f"{int(book.codes[s]):0{book.lengths[s]}b}" for s in (2, 0, 3, 4)] == ["0", "10", "110", "111"]
 
 
+@pytest.fixture(scope="module")
+def encoder():
+    with open(PATH, encoding="utf-8") as file:
+        return token_files.Encoder(file.read(), 2)
+
+
+TEXTS = st.one_of(st.text(max_size=60), st.text(st.sampled_from(" \t\n\x1c\x1f\x85\xa0\u200b\u2003ab'ss12é!漢"), max_size=40), st.text(st.sampled_from(" \n\nab,'sé"), max_size=30))
+
+
+@given(st.lists(TEXTS, max_size=6))
+@settings(max_examples=400, deadline=None)
+def test_stretches_encode_as_the_whole_text(encoder, texts):
+    texts = [*texts, "<|endoftext|>".join(texts)]
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u2").tolist() == encoder.library.encode(text, add_special_tokens=False).ids
+
+
+def test_caches_stay_bounded(encoder, monkeypatch):
+    monkeypatch.setattr(token_files, "CACHED_STRETCHES", 5)
+    encoder.young, encoder.old = {}, {}
+    for i in range(50):
+        texts = [f"word{i} other{i % 3} and{j}" for j in range(4)]
+        for text, ids in zip(texts, encoder.encode(texts), strict=True):
+            assert np.frombuffer(ids, "<u2").tolist() == encoder.library.encode(text, add_special_tokens=False).ids
+        assert len(encoder.young) < 30 and len(encoder.old) < 30
+
+
 def brute_force(rows):
     tokenizer = Tokenizer.from_file(PATH)
     found = []
