@@ -15,10 +15,11 @@ from corpusmill.catalog.datasets import (
     _split,
     split_sql,
 )
+from corpusmill.catalog.matching import _ORDERED, _PLACED
 from corpusmill.catalog.quality import _CHECKED, _MEASURED, _WORDED
-from corpusmill.catalog.views import GROUPS, RULES, SEED, TEST_SIZE, with_views
+from corpusmill.catalog.views import GROUPS, LABELS, RULES, SEED, TEST_SIZE, with_views
 from corpusmill.functions.quality import len_ratio
-from corpusmill.operators import digests, guards, merging, pairs, quality
+from corpusmill.operators import digests, guards, merging, pairs, quality, reconcile
 from corpusmill.operators.ledger import Ledger
 from corpusmill.plans.materialize import materialize, scratch_path
 from corpusmill.plans.split import cuts_of_counts, hash_counts, merge_hash_counts, split_by_cuts
@@ -45,6 +46,17 @@ def manifest_document(spark, d):
     )
 
 
+def duplicate_summary_file(spark, d):
+    """The duplicate summary as one CSV file with a line per ID, read back."""
+    summary = materialize(reconcile.duplicate_summary(v.text_files(spark, d), v.metadata(spark, d), LABELS))
+    path = scratch_path(spark, "summary")
+    write_documents(reconcile.summary_fragments(summary, LABELS), path, ["id_size", "file_id", "section", "position"])
+    read = spark.read.option("header", True).option("escape", '"').option("nullValue", "\x00").csv(path)
+    return read.withColumns({c: F.col(c).cast("bigint") for c in ("row_count", "unique_prediction_count")}).withColumn(
+        "predictions_same", F.col("predictions_same").cast("boolean")
+    )
+
+
 def array_layout(spark, d):
     """Both splits of all tasks as JSON array files, read back by byte ranges."""
     path = scratch_path(spark, "arrays")
@@ -143,6 +155,7 @@ def label_tree(spark, d):
 
 QUERIES = {
     "manifest_document": manifest_document,
+    "duplicate_summary_file": duplicate_summary_file,
     "array_layout": array_layout,
     "csv_encodings": csv_encodings,
     "ratio_sketch": ratio_sketch,
@@ -175,6 +188,20 @@ ORACLES = {
         known="SELECT * FROM merged_rest WHERE label IS NOT NULL",
         splits=split_sql("known", "merged_task"),
     ),
+    "duplicate_summary_file": with_views(
+        f"""SELECT file_id, count(*) AS row_count, any_value(k) AS unique_prediction_count, any_value(k) = 1 AS predictions_same,
+            string_agg(CAST(metadata_row AS VARCHAR), ',' ORDER BY position) AS metadata_rows,
+            string_agg(matched_ids, ' | ' ORDER BY position) FILTER (first_of_cell) AS matched_ids_values,
+            any_value(label_a) AS label_a, any_value(label_b) AS label_b
+        FROM (SELECT p.file_id, position, metadata_row, matched_ids, k, s.label_a, s.label_b,
+                position = min(position) OVER (PARTITION BY p.file_id, matched_ids) AS first_of_cell
+            FROM placed p JOIN (SELECT file_id, count(DISTINCT (label_a, label_b)) AS k,
+                first(label_a {_ORDERED}) AS label_a, first(label_b {_ORDERED}) AS label_b
+                FROM matches GROUP BY file_id HAVING count(*) > 1) s ON p.file_id = s.file_id)
+        GROUP BY file_id""",
+        "matches",
+        placed=_PLACED,
+    ),
     "array_layout": DATASET_ORACLES["stratified_split"],
     "csv_encodings": """SELECT doc_id, substr(regexp_replace(text, '[^A-Za-zÀ-ÖØ-öø-ÿ, ]', '', 'g'), 1, 80) AS note, true AS numbered
         FROM documents""",

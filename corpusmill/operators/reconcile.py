@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.labels import clean_labels
@@ -164,6 +164,56 @@ def duplicate_summary(
     )
 
 
+def _csv_cell(value: Column) -> Column:
+    return F.concat(F.lit('"'), _doubled(value), F.lit('"'))
+
+
+def _doubled(value: Column) -> Column:
+    return F.replace(F.coalesce(value.cast("string"), F.lit("")), F.lit('"'), F.lit('""'))
+
+
+def summary_fragments(
+    summary: DataFrame,
+    labels: Sequence[str],
+    document: str = "duplicate_summary.csv",
+    row: str = "metadata_row",
+    cell: str = "matched_ids",
+) -> DataFrame:
+    """(document, id_size, file_id, section, position, fragment): the summary as a CSV file with a line per ID.
+
+    ``summary`` comes from ``duplicate_summary``. Row numbers are joined by commas and distinct
+    cells by `` | ``, each list entry a fragment of its own, so that a line of any length is
+    spread over tasks. Written in this order, lines ascend by numeric ID below the header.
+    """
+    first, name = F.col("position") == 0, F.lit(document).alias("document")
+    head = F.concat_ws(
+        ",",
+        _csv_cell(F.col("file_id")),
+        F.col("row_count").cast("string"),
+        F.col("unique_prediction_count").cast("string"),
+        F.col("predictions_same").cast("string"),
+        F.lit('"'),
+    )
+    tail = F.concat(F.lit('",'), F.concat_ws(",", *[_csv_cell(F.col(f"`{c}`")) for c in labels]), F.lit("\n"))
+    pieces = [
+        (1, F.when(first, head)),
+        (2, F.concat(F.when(first, "").otherwise(","), F.col(row).cast("string"))),
+        (3, F.when(first, '","')),
+        (4, F.when(F.col("first_of_cell"), F.concat(F.when(first, "").otherwise(" | "), _doubled(F.col(cell))))),
+        (5, F.when(first, tail)),
+    ]
+    structs = F.array(*[F.struct(F.lit(at).alias("section"), text.alias("fragment")) for at, text in pieces])
+    lines = summary.select(
+        name, F.length("file_id").alias("id_size"), "file_id", "position", F.inline(structs)
+    ).where("fragment is not null")
+    columns = ["file_id", "row_count", "unique_prediction_count", "predictions_same", "metadata_rows", "matched_ids_values", *labels]
+    header = summary.sparkSession.createDataFrame(
+        [(document, 0, "", 0, 0, ",".join(columns) + "\n")],
+        "document string, id_size int, file_id string, position bigint, section int, fragment string",
+    )
+    return header.unionByName(lines)
+
+
 def usable_labels(
     files: DataFrame,
     meta: DataFrame,
