@@ -99,3 +99,23 @@ def test_a_task_without_held_out_rows_keeps_its_first_step(spark):
     fit = linear.fit_linear(counts, rows, datasets.class_weights(rows), linear.LinearSettings(steps=3))
     assert {r.step for r in fit.weights.collect()} == {1}
     assert fit.history.count() == 3
+
+
+def test_weights_too_many_to_broadcast_are_fitted_alike_in_blocks(spark, fitted, monkeypatch):
+    _, _, settings, counts, rows, fit = fitted
+    monkeypatch.setattr(linear, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(linear, "CHUNK_CELLS", 20)
+    passes = []
+    monkeypatch.setattr(linear, "_pass", lambda *a: passes.append(a))
+    weights = datasets.class_weights(rows.where("split = 'train'"))
+    blocks = linear.fit_linear(counts, rows, weights, settings)
+    assert not passes
+    assert blocks.weights.dtypes == fit.weights.dtypes and blocks.history.dtypes == fit.history.dtypes
+    assert sorted(blocks.history.collect()) == sorted(fit.history.collect())
+
+    def found(f):
+        return {(r.task, r.word, r.step): (r.idf or 0.0, r.weight) for r in f.weights.collect()}
+
+    ours, theirs = found(blocks), found(fit)
+    assert ours.keys() == theirs.keys()
+    assert [x for k in sorted(ours) for x in ours[k]] == pytest.approx([x for k in sorted(ours) for x in theirs[k]], abs=1e-12)
