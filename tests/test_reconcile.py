@@ -184,3 +184,18 @@ def test_guards(spark):
     require_empty(df.where("x > 1"), "bad")
     with pytest.raises(ValueError):
         require_rows(df.where("x > 1"))
+
+
+def test_short_lists_are_numbered_without_range_shuffles(spark, files, meta, monkeypatch):
+    """Short lists as long ones, and both at once; files of one name and an ID twice in a cell included."""
+    both = files.unionByName(files.where("file_id = '2'"))
+    wide = meta.unionByName(meta.withColumn("metadata_row", F.col("metadata_row") + 100))
+    calls, spread = [], reconcile.dense_positions
+    monkeypatch.setattr(reconcile, "dense_positions", lambda *a: calls.append(a) or spread(*a))
+    found = []
+    for limit in (100_000, 0, 4):
+        monkeypatch.setattr(reconcile, "LIST_ROWS", limit)
+        lists = [f(both, wide, LABELS) for f in (reconcile.duplicate_summary, reconcile.usable_labels)]
+        found.append([sorted(map(tuple, x.collect()), key=str) for x in lists])
+        assert bool(calls) == (limit < 100_000)
+    assert found[0] == found[1] == found[2] and all(found[0])
