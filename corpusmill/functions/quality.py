@@ -105,28 +105,35 @@ def is_refusal(out: Column | str, ratio: Column, rules: QualityRules = DEFAULT_R
     )
 
 
-MEASURES = ("is_empty", "ratio", "refused", "residue", "src_loop", "out_loop", "src_marks", "out_marks")
+MEASURES = ("is_empty", "ratio", "refused", "residue", "out_loop", "src_marks", "out_marks")
 
 
 def pair_measures(src: Column | str, out: Column | str, rules: QualityRules = DEFAULT_RULES) -> Column:
-    """Struct of the ``MEASURES`` that flags are made from."""
+    """Struct of the ``MEASURES`` that flags are made from, beside the ``source_loop``."""
     ratio = len_ratio(src, out)
     return F.struct(
         (strip(out) == "").alias("is_empty"),
         ratio.alias("ratio"),
         is_refusal(out, ratio, rules).alias("refused"),
         script_ratio(out, rules.script_ranges).alias("residue"),
-        looping_ratio(src, rules.loop_window, rules.loop_floor).alias("src_loop"),
         looping_ratio(out, rules.loop_window, rules.loop_floor).alias("out_loop"),
         placeholder_count(src, rules.placeholder).alias("src_marks"),
         placeholder_count(out, rules.placeholder).alias("out_marks"),
     )
 
 
+def source_loop(src: Column | str, rules: QualityRules = DEFAULT_RULES) -> Column:
+    """``looping_ratio`` of the source: costly, and flags need it only where the output loops."""
+    return looping_ratio(src, rules.loop_window, rules.loop_floor)
+
+
 def flags_from_measures(
-    m: Column | Mapping[str, Column], rules: QualityRules = DEFAULT_RULES, details: bool = False
+    m: Column | Mapping[str, Column], src_loop: Column, rules: QualityRules = DEFAULT_RULES, details: bool = False
 ) -> Column:
-    """Flag array from the measures of a pair; ``details`` adds the numbers in brackets."""
+    """Flag array from the measures of a pair; ``details`` adds the numbers in brackets.
+
+    ``src_loop`` is evaluated for pairs whose output loops, and for no others.
+    """
 
     def named(kind: str, *numbers: Column | str) -> Column:
         if not details or not numbers:
@@ -134,7 +141,7 @@ def flags_from_measures(
         return F.concat(F.lit(f"{kind}("), *[F.lit(n) if isinstance(n, str) else n for n in numbers], F.lit(")"))
 
     ratio, residue = m["ratio"], m["residue"]
-    src_loop, out_loop = m["src_loop"], m["out_loop"]
+    out_loop = m["out_loop"]
     src_marks, out_marks = m["src_marks"], m["out_marks"]
     loops = (out_loop > rules.loop_limit) & (out_loop > src_loop + rules.loop_limit)
     checks = F.array(
@@ -156,7 +163,7 @@ def quality_flags(
     src: Column | str, out: Column | str, rules: QualityRules = DEFAULT_RULES, details: bool = False
 ) -> Column:
     """All flags of a pair; an empty array means it looks sound."""
-    return let(pair_measures(src, out, rules), lambda m: flags_from_measures(m, rules, details))
+    return let(pair_measures(src, out, rules), lambda m: flags_from_measures(m, source_loop(src, rules), rules, details))
 
 
 def flag_kind(flag: Column) -> Column:

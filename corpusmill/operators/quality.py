@@ -17,6 +17,7 @@ from corpusmill.functions.quality import (
     hard_flags,
     pair_measures,
     rounded_measures,
+    source_loop,
 )
 from corpusmill.functions.text import preview
 from corpusmill.plans.prefix import value_stats
@@ -30,14 +31,15 @@ def check_pairs(
     details: bool = False,
 ) -> DataFrame:
     """Pairs with flags and stored numbers; always derived from the texts."""
-    # A generator, so that filters on flags stay above it and each text is measured once.
+    # A generator, so that filters on flags stay above it and each output is measured once; the loops
+    # of a source are measured where its output loops, and for all only if their column is read.
     measured = pairs.select("*", F.inline(F.array(pair_measures(src, out, rules))))
     numbers = {name: F.col(name) for name in MEASURES}
     return measured.select(
         *pairs.columns,
-        flags_from_measures(numbers, rules, details).alias("flags"),
+        flags_from_measures(numbers, source_loop(src, rules), rules, details).alias("flags"),
         *[c.alias(name) for name, c in rounded_measures(numbers).items()],
-        "src_loop",
+        source_loop(src, rules).alias("src_loop"),
         "out_loop",
     )
 
@@ -77,7 +79,7 @@ def current_flags(
         F.col(stored).alias("_stored"),
         F.inline(F.array(pair_measures(F.coalesce(src, F.lit("")), F.coalesce(out, F.lit("")), rules))),
     )
-    flags = F.when(there, flags_from_measures({m: F.col(m) for m in MEASURES}, rules)).otherwise(stored_flags("_stored", names))
+    flags = F.when(there, flags_from_measures({m: F.col(m) for m in MEASURES}, source_loop(src, rules), rules)).otherwise(stored_flags("_stored", names))
     return derived.select(*[c for c in records.columns if c != stored], flags.alias(stored))
 
 

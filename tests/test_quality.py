@@ -35,3 +35,20 @@ def test_merged_sketches_stay_within_the_bound(spark):
             rank = sum(v <= row[f"q{int(q * 100)}"] for v in values) / 20_000
             assert abs(rank - q) < 0.01
     assert max(len(r.sketch) for r in parts.collect()) < 20_000
+
+
+def test_loops_of_sources_are_measured_for_looping_outputs_only(spark):
+    """No source is split into words unless its output loops or the column is asked for."""
+    loop = "a " * 100
+    rows = [(i, "word " + " ".join(map(str, range(100))), loop if i == 0 else f"x {i} " + " ".join(map(str, range(100)))) for i in range(20)]
+    pairs = spark.createDataFrame(rows, "file_id int, src string, out string").coalesce(1)
+    checked = quality.check_pairs(pairs)
+    plan = checked.select("file_id", "flags")._jdf.queryExecution().optimizedPlan().toString()
+    generate = plan.split("Generate inline")[1]
+    assert "lower(out" in generate and "lower(src" not in generate
+    got = {r.file_id: r for r in checked.collect()}
+    assert "degenerate" in got[0].flags and got[0].src_loop == 0.0 and got[0].out_loop == 1.0
+    assert not any("degenerate" in got[i].flags for i in range(1, 20))
+    # A source that loops as much as its output is no loss.
+    same = quality.check_pairs(spark.createDataFrame([(1, loop, loop)], "file_id int, src string, out string")).first()
+    assert same.flags == [] and same.src_loop == 1.0
