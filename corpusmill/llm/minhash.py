@@ -11,6 +11,7 @@
 4. Buckets whose classes then lie in several components give the pairs across components
    whose sketches are close; those are checked too. Pairs inside a component need no check,
    so a group of n near copies of one text costs about n comparisons and loses nothing.
+   Large buckets are cut into tiles, which are compared one by one in whole arrays.
 5. Links become components.
 
 With ``bands`` x ``rows`` samples a pair of similarity s shares a bucket with probability
@@ -38,6 +39,9 @@ from corpusmill.llm.components import components
 BLOCK = 1 << 16
 # IDs a broadcast may hold, 8 bytes each; a longer list is joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+# Classes on either side of a tile of a bucket, and pairs that are compared at once.
+TILE = 1024
+PAIRS = 1 << 13
 
 
 @dataclass(frozen=True)
@@ -196,29 +200,34 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, s: NearDuplicates, id_col: str
 SKETCHED = ("n_shingles", "samples", "sketch")
 
 
-def sketches_close(s: NearDuplicates, a: str = "_a", b: str = "_b") -> Column:
-    """Whether two sketches may belong to a pair at or above the threshold.
+def _pair_limit(s: NearDuplicates, sizes: tuple, kept: tuple, least, greatest, exp, sqrt) -> tuple:
+    """Whether the sizes of two sets allow the threshold, and the XOR count their sketches may reach.
 
     Of all samples of such a pair, ``share / (1 + share)`` are common. Where samples were drawn,
     six deviations of the draw are allowed; where every hash is a sample there are none. Bits
     only cancel out, so the XOR count never exceeds the number of differing samples, and
-    stays within six deviations of what so many flips leave.
+    stays within six deviations of what so many flips leave. Sizes and numbers of samples are
+    columns or arrays of doubles.
     """
     n, share = float(s.sketch_bits), s.percent / 100
-    size = {x: F.col(f"n_shingles{x}").cast("double") for x in (a, b)}
-    kept = {x: F.col(f"samples{x}").cast("double") for x in (a, b)}
-    both = kept[a] + kept[b]
-    drawn = 1 - F.least(kept[a] / size[a], kept[b] / size[b])
-    common = share / (1 + share) * both - 6 * F.sqrt(share * (1 - share) / (1 + share) * both * drawn)
+    both = kept[0] + kept[1]
+    drawn = 1 - least(kept[0] / sizes[0], kept[1] / sizes[1])
+    common = share / (1 + share) * both - 6 * sqrt(share * (1 - share) / (1 + share) * both * drawn)
     flips = both - 2 * common
-    left = F.exp(-4 / n * flips)
-    spread = F.sqrt(F.greatest(n / 4 * (1 - left) - flips * left, F.lit(1.0)))
-    limit = F.least(flips + 1e-6, n / 2 * (1 - F.sqrt(left)) + 6 * spread)
+    left = exp(-4 / n * flips)
+    spread = sqrt(greatest(n / 4 * (1 - left) - flips * left, 1.0))
+    limit = least(flips + 1e-6, n / 2 * (1 - sqrt(left)) + 6 * spread)
+    return least(*sizes) >= share * greatest(*sizes), limit
+
+
+def sketches_close(s: NearDuplicates, a: str = "_a", b: str = "_b") -> Column:
+    """Whether two sketches may belong to a pair at or above the threshold."""
+    sizes, kept = [tuple(F.col(f"{c}{x}").cast("double") for x in (a, b)) for c in ("n_shingles", "samples")]
+    fits, limit = _pair_limit(s, sizes, kept, F.least, lambda x, y: F.greatest(x, F.lit(y)), F.exp, F.sqrt)
     words = [
         F.bit_count(F.get(f"sketch{a}", F.lit(i)).bitwiseXOR(F.get(f"sketch{b}", F.lit(i))))
         for i in range(s.sketch_bits // 64)
     ]
-    fits = F.least(size[a], size[b]) >= share * F.greatest(size[a], size[b])
     return fits & (sum(words[1:], words[0]) <= limit)
 
 
@@ -256,25 +265,100 @@ def _star_pairs(reps: DataFrame, members: DataFrame, s: NearDuplicates) -> Stage
     return pairs
 
 
+def _whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows, sorted by tile, in batches that hold all rows of each of their tiles."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            tiles = batch.column("tile").to_numpy()
+            last = int(np.searchsorted(tiles, tiles[-1]))
+            if last or held and held[0].column("tile")[0].as_py() != tiles[-1]:
+                yield from pa.Table.from_batches([*held, batch.slice(0, last)]).combine_chunks().to_batches()
+                held = []
+            held.append(batch.slice(last))
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def _pairs_of_tiles(tiles: np.ndarray, in_a: np.ndarray, in_b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of every row of side a with every row of side b of its tile, about PAIRS at a time."""
+    first, second = np.flatnonzero(in_a), np.flatnonzero(in_b)
+    starts = np.searchsorted(tiles[second], tiles[first], "left")
+    counts = np.searchsorted(tiles[second], tiles[first], "right") - starts
+    ends = np.cumsum(counts)
+    at = 0
+    while at < len(first):
+        done = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + PAIRS, "right")))
+        n = counts[at:to]
+        within = np.arange(ends[to - 1] - done) - np.repeat(ends[at:to] - n - done, n)
+        yield np.repeat(first[at:to], n), second[np.repeat(starts[at:to], n) + within]
+        at = to
+
+
+def _close_across(tiled: DataFrame, s: NearDuplicates) -> DataFrame:
+    """``id_a``, ``id_b``: pairs of side a and side b of a tile, of different components, with close sketches.
+
+    Two rows outside the main component meet twice and count once, by their hash.
+    """
+    kind = tiled.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_tiles(batches):
+            column = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("tile", "in_a", "in_b", "outside", "hash")}
+            size, kept = (batch.column(c).to_numpy().astype(np.float64) for c in ("n_shingles", "samples"))
+            component = batch.column("component").dictionary_encode().indices.to_numpy()
+            sketch = batch.column("sketch").flatten().to_numpy().view(np.uint64).reshape(-1, s.sketch_bits // 64)
+            for a, b in _pairs_of_tiles(column["tile"], column["in_a"], column["in_b"]):
+                once = ~column["outside"][b] | (column["hash"][a] <= column["hash"][b])
+                apart = once & (component[a] != component[b])
+                a, b = a[apart], b[apart]
+                fits, limit = _pair_limit(s, (size[a], size[b]), (kept[a], kept[b]), np.minimum, np.maximum, np.exp, np.sqrt)
+                a, b, limit = a[fits], b[fits], limit[fits]
+                close = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.uint32) <= limit
+                if close.any():
+                    ids = [batch.column("id").take(pa.array(x[close])) for x in (a, b)]
+                    yield pa.RecordBatch.from_arrays(ids, names=["id_a", "id_b"])
+
+    return tiled.mapInArrow(run, f"id_a {kind}, id_b {kind}")
+
+
 def _cross_pairs(reps: DataFrame, members: DataFrame, comps: DataFrame, s: NearDuplicates) -> DataFrame:
     """Pairs of one bucket in different components with close sketches.
 
     At least one class of such a pair lies outside the largest component of its bucket, so
-    only those classes are compared with the others.
+    only those classes are compared with the others. Their blocks times the blocks of all
+    classes make the tiles of the bucket; a bucket of up to TILE classes is one tile.
     """
     placed = members.select("band", "id").join(comps.select(F.col("node").alias("id"), "component"), "id", "left")
     placed = stage(placed.select("band", "id", F.coalesce("component", "id").alias("component")), "placed").df
     counts = placed.groupBy("band", "component").agg(F.count("*").alias("n"))
-    top = counts.groupBy("band").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("components"))
-    mixed = stage(top.where("components > 1").select("band", F.col("top.component").alias("main")), "mixed_bands").df
-    rows = placed.join(mixed, "band").join(reps.select("id", *SKETCHED), "id")
-    rows = stage(rows.select("band", "id", "component", "main", *SKETCHED), "sketched").df
-    side_a, side_b = _sides(rows, "band", "id", "component", "main", *SKETCHED)
-    once = (F.col("component_b") == F.col("main_b")) | (F.col("id_a") < F.col("id_b"))
-    apart = F.col("component_a") != F.col("component_b")
-    close = side_a.where("component_a <> main_a").join(
-        side_b, (F.col("band_a") == F.col("band_b")) & apart & once & sketches_close(s)
+    top = counts.groupBy("band").agg(
+        F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("components"), F.sum("n").alias("n")
+    )
+    mixed = top.where("components > 1").select(
+        "band",
+        F.col("top.component").alias("main"),
+        F.ceil((F.col("n") - F.col("top.n")) / TILE).alias("blocks_a"),
+        F.ceil(F.col("n") / TILE).alias("blocks_b"),
+    )
+    mixed = stage(mixed, "mixed_bands").df
+    rows = placed.join(mixed, "band").withColumns({"outside": F.expr("component <> main"), "hash": F.xxhash64("id")})
+    block = {x: F.pmod("hash", f"blocks_{x}") for x in "ab"}
+    down = F.transform(F.sequence(F.lit(0), F.col("blocks_a") - 1), lambda i: F.struct(i.alias("i"), block["b"].alias("j")))
+    along = F.transform(F.sequence(F.lit(0), F.col("blocks_b") - 1), lambda j: F.struct(block["a"].alias("i"), j.alias("j")))
+    tiles = F.when(F.col("outside"), F.array_union(down, along)).otherwise(down)
+    sent = rows.select("*", F.inline(tiles)).select(
+        F.xxhash64("band", "i", "j").alias("tile"),
+        (F.col("outside") & (F.col("i") == block["a"])).alias("in_a"),
+        (F.col("j") == block["b"]).alias("in_b"),
+        "outside",
+        "hash",
+        "id",
+        "component",
     )
+    tiled = sent.join(reps.select("id", *SKETCHED), "id").repartition("tile").sortWithinPartitions("tile")
+    close = _close_across(tiled, s)
     return close.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 

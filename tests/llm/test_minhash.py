@@ -1,7 +1,10 @@
 from collections import defaultdict
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from corpusmill.llm import minhash as M
 from corpusmill.llm import queries
@@ -82,6 +85,62 @@ def test_large_group_of_near_copies(make_docs):
     assert {r.component_id for r in found} == {0}
 
 
+def shared_line(count):
+    """Short texts around one line, each fifth a near copy of the one before it."""
+    line = " ".join(f"line{i}" for i in range(24))
+    own = [" ".join(f"own{i - (i % 5 == 4)}x{j}" for j in range(6 + i % 40)) for i in range(count)]
+    return [(i, f"{line} {own[i]}" + " more" * (i % 5 == 4)) for i in range(count)]
+
+
+@pytest.mark.parametrize("tile", [7, 1024])
+def test_bucket_across_components_in_tiles(spark, make_docs, monkeypatch, tile):
+    """The pairs are those of a join by bucket, which is no longer made."""
+    monkeypatch.setattr(M, "TILE", tile, raising=False)
+    s = M.NearDuplicates(words=4)
+    M.ship_package(spark)
+    reps = M.signatures(make_docs(shared_line(150)), s, "doc_id", "text").select("id", "bands", *M.SKETCHED).cache()
+    members = M._bucket_members(reps).df
+    assert members.groupBy("band").count().where("count > 21").count() > 0
+    merged = {n: n % 6 for n in range(6, 60)}
+    comps = spark.createDataFrame(list(merged.items()), "node bigint, component bigint")
+    a, b = M._sides(reps, "id", *M.SKETCHED)
+    shared = members.select("band", F.col("id").alias("id_a")).join(members.select("band", F.col("id").alias("id_b")), "band")
+    pairs = shared.where("id_a < id_b").select("id_a", "id_b").distinct()
+    close = pairs.join(a, "id_a").join(b, "id_b").where(M.sketches_close(s)).collect()
+    expected = {(r.id_a, r.id_b) for r in close if merged.get(r.id_a, r.id_a) != merged.get(r.id_b, r.id_b)}
+    cross = M._cross_pairs(reps, members, comps, s)
+    assert "bit_count" not in cross._jdf.queryExecution().optimizedPlan().toString()
+    found = [(r.a, r.b) for r in cross.collect()]
+    assert expected and sorted(found) == sorted(expected)
+
+
+def test_components_across_tiles(make_docs, monkeypatch):
+    monkeypatch.setattr(M, "TILE", 16, raising=False)
+    rows = shared_line(200)
+    _, expected = brute(rows, 4)
+    found = M.near_duplicates(make_docs(rows), M.NearDuplicates(words=4)).collect()
+    assert {r.doc_id: r.component_id for r in found} == expected
+
+
+@pytest.mark.parametrize("rows", [1, 3, 100])
+def test_tiles_that_several_batches_hold(rows):
+    tiles = np.sort(np.random.default_rng(1).integers(-9, 9, 60))
+    whole = pa.RecordBatch.from_pydict({"tile": tiles, "at": np.arange(60)})
+    parts = [whole.slice(i, rows) for i in range(0, 60, rows)] + [whole.slice(0, 0)]
+    found = [b.column("tile").to_pylist() for b in M._whole_tiles(iter(parts)) if b.num_rows]
+    assert sum(found, []) == tiles.tolist()
+    assert all(x[-1] != y[0] for x, y in zip(found, found[1:]))
+
+
+def test_pairs_of_tiles(monkeypatch):
+    monkeypatch.setattr(M, "PAIRS", 10)
+    tiles, (in_a, in_b) = np.repeat([-2, 5, 6], [9, 1, 20]), np.random.default_rng(2).random((2, 30)) < 0.6
+    found = [list(zip(a.tolist(), b.tolist())) for a, b in M._pairs_of_tiles(tiles, in_a, in_b)]
+    rows = range(30)
+    assert sum(found, []) == [(i, j) for i in rows for j in rows if in_a[i] and in_b[j] and tiles[i] == tiles[j]]
+    assert max(map(len, found)) <= 20
+
+
 def test_drop(make_docs):
     left = M.drop_near_duplicates(make_docs(ROWS, clash=True), M.NearDuplicates(words=4))
     _, expected = brute(ROWS, 4)
