@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import Stage, stage
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    hashed = F.xxhash64("u", "v")
-    mixed = F.sum(F.pmod(hashed, F.lit(2**40))).alias("a"), F.bit_xor(hashed).alias("b")
-    return tuple(edges.agg(F.count("*"), *mixed).first())
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether each ``u`` has one ``v`` and no ``v`` is a ``u``: then every component is a star around its ``v``."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"))
+    ends = ends.unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up")))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.count("*").alias("n"))
+    return not nodes.where("up > 1 or up = 1 and n > 1").count()
 
 
 def _least_neighbour(pairs: DataFrame) -> Stage:
@@ -55,13 +57,9 @@ def components(links: DataFrame) -> Stage:
     """
     oriented = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     now = stage(oriented.where("u <> v").distinct(), "links")
-    seen = _fingerprint(now.df)
-    while seen[0]:
+    while not _all_stars(now.df):
         large = _large_star(now.df)
         now.release()
         now = _small_star(large.df)
         large.release()
-        before, seen = seen, _fingerprint(now.df)
-        if before == seen:
-            break
     return Stage(now.df.select(F.col("u").alias("node"), F.col("v").alias("component")), now.path)

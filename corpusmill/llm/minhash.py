@@ -387,7 +387,7 @@ def near_duplicates(
     cross = stage(_cross_pairs(reps.df, members.df, first.df, s).join(star.df, ["a", "b"], "left_anti"), "cross_pairs")
     members.release()
     more = _confirmed(cross.df, docs, s, id_col, text_col)
-    last = components(links.df.unionByName(more.df))
+    last = components(first.df.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.df))
     reps.release()
 
     final = last.df.select(F.col("node").alias("class_id"), "component")

@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from corpusmill.llm import components as C
 from corpusmill.llm import minhash as M
 from corpusmill.llm import queries
 from corpusmill.llm.components import components
@@ -168,6 +169,13 @@ def test_connected_components(spark, links):
     assert {r.node: r.component for r in found.collect()} == {n: c for n, c in expected.items() if n != c}
 
 
+def test_stars_need_no_round(spark, monkeypatch):
+    monkeypatch.setattr(C, "_large_star", None)
+    links = [(1, i) for i in range(2, 9)] + [(20, 30), (30, 20), (31, 20), (5, 5)]
+    found = components(spark.createDataFrame(links, "a bigint, b bigint")).df
+    assert {r.node: r.component for r in found.collect()} == {**dict.fromkeys(range(2, 9), 1), 30: 20, 31: 20}
+
+
 def test_query(spark):
     sf_dir = "/root/testdata/sf0.01"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
