@@ -52,11 +52,11 @@ def _small_star(edges: DataFrame) -> Stage:
 def components(links: DataFrame) -> Stage:
     """``node`` and ``component`` (smallest node reachable) of every node that is not smallest.
 
-    ``links`` has columns ``a`` and ``b``; loops, repeated and reversed links are harmless. A
-    node that the result lacks is its own component.
+    ``links`` has columns ``a`` and ``b``; loops, repeated and reversed links are harmless, but
+    the latter two cost a round. A node that the result lacks is its own component.
     """
     oriented = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    now = stage(oriented.where("u <> v").distinct(), "links")
+    now = stage(oriented.where("u <> v"), "links")
     while not _all_stars(now.df):
         large = _large_star(now.df)
         now.release()

@@ -255,13 +255,12 @@ def _star_pairs(reps: DataFrame, members: DataFrame, s: NearDuplicates) -> Stage
     heads = stage(heads, "bucket_heads")
     votes = members.join(heads.df, "band").where("id <> head").groupBy("id", "head").agg(F.count("*").alias("n"))
     best = votes.groupBy("id").agg(F.max(F.struct("n", (-F.col("head")).alias("head"))).alias("top"))
-    chosen = stage(best.select(F.col("id").alias("id_b"), (-F.col("top.head")).alias("id_a")), "chosen")
+    chosen = best.select(F.col("id").alias("id_b"), (-F.col("top.head")).alias("id_a"))
     side_a, side_b = _sides(reps, "id", *SKETCHED)
-    close = chosen.df.join(side_b, "id_b").join(side_a, "id_a").where(sketches_close(s))
+    close = chosen.join(side_b, "id_b").join(side_a, "id_a").where(sketches_close(s))
     ends = F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")
     pairs = stage(close.select(*ends).distinct(), "star_pairs")
     heads.release()
-    chosen.release()
     return pairs
 
 
